@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, media, mixing, packing, quality, toxicity, urls, warc
+from . import jaccard, lines, media, mixing, packing, quality, suffix, toxicity, urls, warc
 from .common import materialise, shared_path
 
 
@@ -72,6 +72,16 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.components(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def byte_bpe() -> str:
     import public_tokenizers
 
@@ -91,7 +101,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_media, op3_urls, op4_mixing, op5_toxicity, op6_lines, op9_packing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_media, op3_urls, op4_mixing, op5_toxicity, op6_lines, op7_jaccard, op8_suffix, op9_packing, op10_quality)}
 
 
 def _number(x: float) -> str:
