@@ -119,7 +119,8 @@ class RunIndex:
         self.least = np.minimum.reduceat(owner, self.interval) if total else owner
         # 0 where a string begins, else the byte before the suffix
         before = np.where(at[rows] == self.starts[string[rows]], 0, text[rows - 1].astype(np.int64) + 1)
-        self.run = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]])) if total else np.empty(0, np.int64)
+        # a row where a string begins is a run of its own, so that every walk back meets a sample before it
+        self.run = np.flatnonzero(np.concatenate([[True], (before[1:] != before[:-1]) | (before[1:] == 0)])) if total else np.empty(0, np.int64)
         sizes_of_runs = np.diff(np.append(self.run, total))
         self.byte = before[self.run]
         by_byte = np.argsort(self.byte, kind="stable")
