@@ -14,7 +14,6 @@ Repeated rows are packed each. An empty table gives an empty result. Texts are t
 
 from __future__ import annotations
 
-import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,7 +37,7 @@ class Packing:
     lookahead: int = 4
     step_tokens: int = 32768
     #: Words in each of the tokenizer's two cache generations.
-    cache: int = 300_000
+    cache: int = 450_000
 
 
 class Tokens:
@@ -46,11 +45,9 @@ class Tokens:
 
     Between two spaces with no other white space beside them, the tokenizer's first step (its
     pattern) always starts a new unit at the space, so the ids of such a stretch do not depend on
-    what is around it. Texts with neighbouring white space are given to the tokenizer whole.
+    what is around it. Texts with white space beside a space are given to the tokenizer whole.
     """
 
-    BESIDE = re.compile(r"\s\s|^\s|\s$")
-
     def __init__(self, path: str, cache: int):
         from tokenizers import Tokenizer
 
@@ -60,20 +57,21 @@ class Tokens:
         for word, i in self.tokenizer.get_vocab().items():
             starts[i] = word.startswith("Ġ")  # how byte-level vocabularies write a space
         self.starts, self.cache, self.young, self.old = starts, cache, {}, {}
+        self.firsts: dict[str, bytes] = {}  # words that start a text, without a space before them
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def first(self, word: str) -> bytes:
+        if word not in self.firsts:
+            if len(self.firsts) > self.cache // 10:
+                self.firsts.clear()
+            self.firsts[word] = self.whole(word).tobytes()
+        return self.firsts[word]
+
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        parts: list[list[str] | None] = []
-        seen: set[str] = set()
-        for text in texts:
-            if not text or self.BESIDE.search(text):
-                parts.append(None)
-                continue
-            p = text.split(" ")
-            parts.append(p)
-            seen.update(p[1:])
+        parts = [(text or "").split(" ") for text in texts]
+        seen = set().union(*[p[1:] for p in parts])
         young, old = self.young, self.old
         if len(young) + len(seen) > self.cache:
             old, young = young, {}
@@ -81,21 +79,29 @@ class Tokens:
         new = []
         for w in seen:
             if w not in young:
-                if (x := old.get(w)) is None:
+                if w not in old:
                     new.append(w)
                 else:
-                    young[w] = x
+                    young[w] = old[w]
         if new:
             self.learn(new)
         out = []
         for text, p in zip(texts, parts):
-            if p is None:
-                out.append(self.whole(text).tobytes() if text else b"")
+            if not text:
+                out.append(b"")
+            elif not p[0] or p[0] != p[0].strip():
+                out.append(self.whole(text).tobytes())
             else:
-                out.append(self.whole(p[0]).tobytes() + b"".join(map(young.__getitem__, p[1:])))
+                try:
+                    out.append(self.first(p[0]) + b"".join(map(young.__getitem__, p[1:])))
+                except TypeError:  # a stretch without ids: white space beside a space
+                    out.append(self.whole(text).tobytes())
         return out
 
     def learn(self, new: list[str]) -> None:
+        """Ids of stretches, with the space before each; None where white space would stand beside a space."""
+        self.young.update((w, None) for w in new if not w or w != w.strip())
+        new = [w for w in new if w not in self.young]
         for i in range(0, len(new), 4000):
             part = new[i:i + 4000]
             ids = self.whole(" " + " ".join(part))
