@@ -147,7 +147,7 @@ def plain_components(pairs):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("params", [jaccard.Params(), jaccard.Params(block_docs=7, frequent=2, open_per_class=0.0)])
+@pytest.mark.parametrize("params", [jaccard.Params(), jaccard.Params(block_docs=7, frequent=2, open_per_token=0.0)])
 def test_jaccard(spark, params):
     pairs = corpus(seed=4, n=120)
     r = random.Random(9)

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key128, materialise, text_or_empty
+from .common import key128, materialise, release, text_or_empty
 
 SHINGLE = 5
 #: Similar: PERCENT of the union or more is shared.
@@ -49,20 +49,30 @@ class Params:
     #: Tokens of at least so many documents of a block are sent as one count.
     frequent: int = 64
     max_rounds: int = 8
-    #: Open pairs are enumerated when there are at most so many for each class.
-    open_per_class: float = 4.0
+    #: In a round a class is compared with the pivots that it shares most tokens with, so many at most; the rest stay open.
+    pivots: int = 4
+    #: Open pairs are enumerated when there are at most so many for each prefix token (a pair counts for each that it shares).
+    open_per_token: float = 4.0
 
 
 class Words(dict):
     """Word hashes, kept for the words that come back."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 600_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
 
+#: A worker process keeps its words from task to task.
+_WORDS = Words()
+
+
+def kept_words() -> Words:
+    return _WORDS
+
+
 def shingle_set(text: str | None, words: Words) -> np.ndarray:
     """The sorted distinct hashes of the text's shingles."""
     w = (text or "").encode().lower().split()  # on bytes: A-Z and ASCII white space only
@@ -147,7 +157,7 @@ def shingle_blocks(docs: DataFrame, buckets: int, params: Params) -> DataFrame:
             yield int(b), "T", block, planes(tokens[i:j]), owner[i:j].tobytes(), weights[marks[i]:marks[j]].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, block = Words(), TaskContext.get().partitionId() << 32
+        words, block = kept_words(), TaskContext.get().partitionId() << 32
         held: list[list] = [[], [], []]
 
         def emit() -> Iterator[pa.RecordBatch]:
@@ -277,6 +287,17 @@ def fits(n: str, m: str):
     return (F.col(n) * 100 >= F.col(m) * PERCENT) & (F.col(m) * 100 >= F.col(n) * PERCENT)
 
 
+def enough(common: str, n: str, m: str):
+    """Whether sets of n and m tokens that have so many common rarity-prefix tokens can be similar.
+
+    Of the two, that whose prefix ends first in the order shares no token of its prefix that is not
+    in the other's prefix too, and its other tokens are one less than what it needs to share.
+    """
+    need = lambda x: F.ceil(F.col(x) * PERCENT / 100)
+    least = F.ceil((F.col(n) + F.col(m)) * PERCENT / (100 + PERCENT))
+    return F.col(common) + F.greatest(need(n), need(m)) - 1 >= least
+
+
 def merge(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
     """labels (key, label) after one step along the links (a, b) that join different labels; whether there were any."""
     of = lambda s: labels.select(F.col("key").alias(s), F.col("label").alias(f"{s}_label"))
@@ -294,14 +315,20 @@ def merge(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
     return materialise(new, "labels"), True
 
 
-def linked_classes(classes: DataFrame, params: Params = Params()) -> DataFrame:
-    """key, label: classes (distinct sets) of one component have one label."""
-    post = classes.select("key", "n", F.explode(F.slice("shared", F.lit(1), F.col("p1"))).alias("token"))
+def linked_classes(rows: DataFrame, params: Params = Params()) -> DataFrame:
+    """key, label: classes (distinct sets) of one component have one label. rows: what profiles() returns, stored."""
+    prefixes = rows.filter("shared is not null").select("key", "n", F.slice("shared", F.lit(1), F.col("p1")).alias("tokens"))
+    post = prefixes.dropDuplicates(["key"]).select("key", "n", F.explode("tokens").alias("token"))
     shared = post.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
     post = materialise(post.join(shared, "token", "left_semi"), "postings")
     labels = materialise(post.select("key", F.col("key").alias("label")).distinct(), "labels")
-    total = max(1, labels.count())
+    # one profile for each class that shares a token with another
+    profile = rows.filter("shared is not null").select("key", "n", "shared", "p2", "p3")
+    classes = materialise(profile.join(labels.select("key"), "key", "left_semi").dropDuplicates(["key"]), "shingle-classes")
+    release(rows.sparkSession)
+    postings = max(1, post.count())
     links: list[DataFrame] = []
+    moved = True
     for turn in range(params.max_rounds + 1):
         now = post.join(labels, "key")
         each = now.groupBy("token", "label").agg(
@@ -313,23 +340,29 @@ def linked_classes(classes: DataFrame, params: Params = Params()) -> DataFrame:
         left = lists.agg(F.sum("open")).first()[0] or 0.0
         if not left:
             break
-        last = left <= params.open_per_class * total or turn == params.max_rounds
+        last = left <= params.open_per_token * postings or turn == params.max_rounds or not moved
         if last:
-            # pairs of a class outside the list's largest label with any class of another label
+            # pairs of a class outside the list's largest label with any class of another label: once for each shared token
             a = now.join(lists.select("token", F.col("most.label").alias("most")), "token").filter("label <> most")
             b = now.select("token", F.col("key").alias("b"), F.col("n").alias("bn"), F.col("label").alias("b_label"))
             pairs = (a.select("token", F.col("key").alias("a"), "n", "label", "most").join(b, "token")
                      .filter((F.col("label") != F.col("b_label")) & fits("n", "bn")
                              & ((F.col("b_label") == F.col("most")) | (F.col("a") < F.col("b"))))
-                     .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+                     .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+                              F.least("n", "bn").alias("n"), F.greatest("n", "bn").alias("bn"))
+                     .agg(F.count("*").alias("c"))
+                     .filter(enough("c", "n", "bn")).select("a", "b"))
         else:
             best = (now.join(lists.select("token", "pivot"), "token")
                     .filter((F.col("label") != F.col("pivot.label")))
                     .select("key", F.col("pivot.key").alias("b"), "n", F.col("pivot.n").alias("bn")).filter(fits("n", "bn"))
-                    .groupBy("key", "b").agg(F.count("*").alias("c")))
-            pairs = best.groupBy("key").agg(F.max(F.struct("c", "b")).alias("m")).select(F.col("key").alias("a"), "m.b")
+                    .groupBy("key", "b", "n", "bn").agg(F.count("*").alias("c")))
+            # a class has no more pivots than prefix tokens, so this list is bounded
+            few = F.slice(F.sort_array(F.collect_list(F.struct("c", "b")), asc=False), 1, params.pivots)
+            pairs = (best.groupBy("key").agg(few.alias("m")).select(F.col("key").alias("a"), F.explode("m").alias("m"))
+                     .select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct())
         links.append(materialise(similar(pairs, classes), "links"))
-        labels, _ = merge(labels, links[-1])
+        labels, moved = merge(labels, links[-1])
         if last:
             break
     if links:
@@ -345,8 +378,8 @@ def linked_classes(classes: DataFrame, params: Params = Params()) -> DataFrame:
 def components(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """doc_id, k1, k2 (128-bit key of the text), n_shingles, component_id: one row for each row of docs."""
     rows = materialise(profiles(docs.select("doc_id", "text"), params), "shingle-profiles")
-    classes = materialise(rows.filter("shared is not null").select("key", "n", "shared", "p1", "p2", "p3").dropDuplicates(["key"]), "shingle-classes")
-    labels = linked_classes(classes, params)
+    release(rows.sparkSession)
+    labels = linked_classes(rows, params)
     ids = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least")).join(labels, "key", "left").select(
         "key", "least", F.coalesce("label", "key").alias("label"))
     ids = materialise(ids, "class-ids")
