@@ -221,9 +221,41 @@ q AS (SELECT base.*, CASE WHEN base_failed THEN false ELSE {within} END AS kept
 """
 
 
+_OP7 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                        ELSE list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS g FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r AS (SELECT a AS doc_id, a AS least FROM l UNION SELECT l.b, r.least FROM r JOIN l ON l.a = r.doc_id),
+m AS (SELECT doc_id, min(least) AS least FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.least, d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+"""
+
+#: A byte is two digits of the text's hexadecimal form.
+_OP8 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, h[2 * p - 1 : 2 * p + 98] AS g FROM (SELECT doc_id, h, unnest(generate_series(1, length(h) // 2 - 49)) AS p FROM d WHERE length(h) >= 100)),
+f AS (SELECT g, min(doc_id) AS first FROM w GROUP BY 1),
+x AS (SELECT doc_id, p FROM w JOIN f ON w.g = f.g WHERE first < doc_id),
+i AS (SELECT *, sum(CASE WHEN p <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (
+  SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM x)),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 49 AS b FROM i GROUP BY doc_id, run),
+k AS (SELECT s.doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY s.doc_id ORDER BY a), 0) AS last, h FROM s JOIN d ON d.doc_id = s.doc_id),
+c AS (SELECT doc_id, sum(b - a + 1) AS n_removed, count(*) AS n_spans,
+             string_agg(h[2 * last + 1 : 2 * (a - 1)], '' ORDER BY a) || any_value(h)[2 * max(b) + 1 :] AS kept FROM k GROUP BY 1)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id
+"""
+
 _OP10 = f"""
 WITH d AS (SELECT doc_id, lang, source, text FROM documents), {quality_ctes()}
 SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, kept FROM q
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": _OP1, "op4_mixing": _OP4, "op6_lines": _OP6, "op10_quality": _OP10}
+ORACLE_SQL: dict[str, str] = {"op1_warc": _OP1, "op4_mixing": _OP4, "op6_lines": _OP6, "op7_jaccard": _OP7, "op8_suffix": _OP8, "op10_quality": _OP10}
