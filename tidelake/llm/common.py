@@ -38,6 +38,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def buckets_for(df: DataFrame, bytes_each: int) -> int:
+    """How many hash buckets to deal df into: one for so many bytes of its files, as many as shuffle partitions at least.
+
+    Where the planner does not know a size (rows that are not files), the shuffle partitions decide.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size if size < 1 << 60 else 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(known // bytes_each, 1 << 20))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of tables that are written and no longer referred to.
 

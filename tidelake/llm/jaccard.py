@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key128, materialise, release, text_or_empty
+from .common import buckets_for, key128, materialise, release, text_or_empty
 
 SHINGLE = 5
 #: Similar: PERCENT of the union or more is shared.
@@ -263,9 +263,7 @@ def profile_block(table: pa.Table) -> pa.Table:
 
 def profiles(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """One row for each row of docs (doc_id, text); see profile_block."""
-    spark = docs.sparkSession
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // 2**24, 2**20))
+    buckets = buckets_for(docs, 1 << 24)
     k1, k2 = key128(text_or_empty("text"))
     rows = shingle_blocks(docs.select(F.col("doc_id").cast("long"), k1.alias("k1"), k2.alias("k2"), "text"), buckets, params)
     counted = rows.groupBy("route").applyInArrow(count_bucket, PACKED_SQL)

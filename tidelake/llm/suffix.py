@@ -29,13 +29,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import buckets_for, materialise
 from .jaccard import MARK, PACKED, PACKED_SQL, count_bucket, planes, unplanes
 
 SPAN = 50
 GRAM = 16
-BLOCK_DOCS = 1024
-FREQUENT = 64
+BLOCK_DOCS = 256
+#: Positions that are hashed at once.
+RUN = 1 << 20
+#: Bytes of the stored table for each bucket.
+BUCKET_BYTES = 1 << 22
 NO_ID = np.iinfo(np.int64).max
 PRIMES = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)))
 
@@ -48,16 +51,21 @@ def eights(data: np.ndarray) -> np.ndarray:
 
 
 def string_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """A hash of the string of the given size (8 or more) at each position."""
-    u, n = eights(data), len(data) - size + 1
-    h = u[:n] * PRIMES[0]
-    for j, o in enumerate(range(8, size, 8)):
-        o = min(o, size - 8)
-        h ^= h >> np.uint64(29)
-        h += u[o:o + n]
-        h *= PRIMES[(j + 1) % 3]
-    h ^= h >> np.uint64(32)
-    return h
+    """A hash of the string of the given size (8 or more) at each position, a run of positions at a time."""
+    n = max(0, len(data) - size + 1)
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, RUN):
+        m = min(RUN, n - a)
+        u = eights(data[a:a + m + size - 1])
+        h = u[:m] * PRIMES[0]
+        for j, o in enumerate(range(8, size, 8)):
+            o = min(o, size - 8)
+            h ^= h >> np.uint64(29)
+            h += u[o:o + m]
+            h *= PRIMES[(j + 1) % 3]
+        h ^= h >> np.uint64(32)
+        out[a:a + m] = h
+    return out
 
 
 def minimizers(data: np.ndarray) -> np.ndarray:
@@ -315,15 +323,18 @@ def mark_bucket(table: pa.Table) -> pa.Table:
     begin = np.cumsum(size) - size
     # candidate stretches: those with a window of which two documents have the hash
     windows = size - SPAN + 1
-    of = np.repeat(np.arange(len(size)), windows)
+    of = np.repeat(np.arange(len(size), dtype=np.int32), windows)
     at = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
     h = string_hashes(data, SPAN)[at]
-    order = np.argsort(h, kind="stable")
-    group = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-    owner = x[of[order]]
+    order = np.argsort(h)
+    h, of = h[order], of[order]
+    del at, order
+    group = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    owner = x[of]
     several = np.minimum.reduceat(owner, group) < np.maximum.reduceat(owner, group)
     keep = np.zeros(len(size), bool)
-    keep[of[order][np.repeat(several, np.diff(np.append(group, len(h))))]] = True
+    keep[of[np.repeat(several, np.diff(np.append(group, len(h))))]] = True
+    del h, of, owner, group
     chosen = np.flatnonzero(keep)
     if not len(chosen):
         return _table([])
@@ -389,9 +400,8 @@ def cut_block(table: pa.Table) -> pa.Table:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (bytes): one row for each row of docs."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // 2**24, 2**20))
     rows = numbered(docs)
+    buckets = buckets_for(rows, BUCKET_BYTES)
     texts = rows.mapInArrow(text_rows, PACKED_SQL)
     shared = rows.mapInArrow(anchor_rows(buckets), PACKED_SQL).groupBy("route").applyInArrow(count_bucket, PACKED_SQL)
     found = shared.unionByName(texts).groupBy("block").applyInArrow(stretches(buckets), PACKED_SQL)
