@@ -38,7 +38,7 @@ BLOCK_DOCS = 256
 #: Positions that are hashed at once.
 RUN = 1 << 20
 #: Bytes of the stored table for each bucket.
-BUCKET_BYTES = 1 << 22
+BUCKET_BYTES = 1 << 20
 NO_ID = np.iinfo(np.int64).max
 PRIMES = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)))
 
