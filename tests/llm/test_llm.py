@@ -172,6 +172,17 @@ def test_one_of_each(spark):
     assert jaccard.one_of_each(df.limit(0)).count() == 0
 
 
+def test_one_of_each_without_ids_or_with_repeated_ids(spark):
+    r = random.Random(11)
+    text = lambda: " ".join(r.choices(WORDS, k=40))
+    alone = [(None, text()) for _ in range(25)] + [(5, text()), (5, text()), (None, None), (None, ""), (None, " "), (6, ""), (6, "")]
+    t, u, v = text(), text(), text()
+    pairs = alone + [(None, t), (None, t), (8, u), (None, u), (5, v), (5, v), (9, v)]
+    out = jaccard.one_of_each(frame(spark, pairs))
+    got = [(x.doc_id, x.text) for x in out.collect()]
+    assert sorted(got, key=str) == sorted([*alone, (None, t), (8, u), (5, v)], key=str)
+
+
 def test_prefix_sizes():
     for n in range(1, 400):
         need = -(-75 * n // 100)

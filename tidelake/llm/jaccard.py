@@ -390,20 +390,32 @@ def components(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """The documents, with one of each component: that with the smallest doc_id. Columns stay as they are."""
-    found = materialise(components(docs, params), "components")
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "k1", "k2")
-    twice = (found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0))
-             .groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1"))
-    gone = materialise(gone.distinct(), "duplicates")
+    """The documents, with one of each component: that with the smallest doc_id, nulls last, then by the text's key.
+
+    Of rows with that doc_id and text the least is kept. Components count by their label, so documents that are
+    similar to nothing stay whatever their doc_id, and so do those without words. Columns stay as they are.
+    """
+    rows = materialise(profiles(docs.select("doc_id", "text"), params), "shingle-profiles")
+    release(rows.sparkSession)
+    labels = linked_classes(rows, params)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    full = rows.filter("n > 0").select("key", place.alias("place"))
+    classes = full.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("c")).join(labels, "key", "left")
+    classes = materialise(classes.select("key", F.coalesce("label", "key").alias("label"), "first", "c"), "class-ids")
+    several = (classes.groupBy("label").agg(F.min("first").alias("kept"), F.sum("c").alias("c"))
+               .filter("c > 1").select("label", "kept"))
+    members = full.join(classes.join(several, "label").select("key", "kept"), "key")
+    members = materialise(members.select("place.doc_id", "place.k1", "place.k2", (F.col("place") == F.col("kept")).alias("stays")), "components")
+    gone = materialise(members.filter("not stays").select("doc_id", "k1", "k2").distinct(), "duplicates")
+    twice = members.filter("stays").groupBy("doc_id", "k1", "k2").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
+    twice = materialise(twice, "repeated-rows")
     k1, k2 = key128(text_or_empty("row.text"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"))
-    rest = rows.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id").eqNullSafe(F.col("gone_id"))
-                     & (rows["k1"] == gone["k1"]) & (rows["k2"] == gone["k2"]), "left_anti")
-    if not twice.isEmpty():  # rows that repeat the smallest id of their component
-        again = rest.join(twice, rest["doc_id"].eqNullSafe(twice["doc_id"]), "left_semi")
-        once = again.groupBy(F.col("doc_id"), "k1", "k2").agg(F.first("row").alias("row"))
-        once = once.groupBy("doc_id").agg(F.min_by("row", F.struct("k1", "k2")).alias("row"))
-        rest = rest.join(twice, rest["doc_id"].eqNullSafe(twice["doc_id"]), "left_anti").select("row").unionByName(once.select("row"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["k1"] == b["k1"]) & (a["k2"] == b["k2"])
+    rest = rows.join(gone, same(rows, gone), "left_anti")
+    if not twice.isEmpty():  # rows that repeat the kept doc_id and text
+        again = rest.join(twice, same(rest, twice), "left_semi")
+        once = again.groupBy("doc_id", "k1", "k2").agg(F.min("row").alias("row"))
+        rest = rest.join(twice, same(rest, twice), "left_anti").select("row").unionByName(once.select("row"))
     return rest.select("row.*")
