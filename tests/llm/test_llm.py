@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,6 +217,20 @@ def test_repeats(spark):
     assert suffix.remove_repeats(frame(spark, pairs).limit(0)).count() == 0
 
 
+def test_a_block_sends_a_passage_once():
+    r = random.Random(5)
+    passage = bytes(r.choices(b"abcdefgh ", k=150)).decode()
+    batch = pa.RecordBatch.from_pydict({"block": [7] * 200, "i": list(range(200)), "id": [*range(1, 200), None], "text": [passage] * 200})
+    _, _, runs, m = suffix._windows([passage.encode()])
+    rows = [*next(suffix.text_rows(iter([batch]))).to_pylist(), *suffix._table([(0, "R", 7, suffix.planes(np.unique(m)), b"", b"")]).to_pylist()]
+    table = pa.Table.from_pylist(rows, suffix.PACKED)
+    sent = suffix.stretches(1)(table)
+    assert sum(len(x) // 2 for x in sent["docs"].to_pylist()) == len(runs)  # 200 times that before
+    marks = suffix.mark_bucket(sent)
+    cut = suffix.cut_block(pa.concat_tables([table, marks])).to_pylist()
+    assert [x["n_removed"] for x in cut] == [0] + [150] * 199
+
+
 def test_run_index():
     r = random.Random(3)
     base = bytes(r.choices(b"abc", k=400))

@@ -5,16 +5,19 @@ A byte goes if a string of SPAN bytes that covers it also starts in a document w
 1. Anchors. Every SPAN-byte window has a minimizer, the least hash of its 16-byte strings; equal
    windows have equal minimizers. Minimizers are counted over all documents in hash buckets, and
    those of one document only are out.
-2. Stretches. The windows around a shared minimizer go, as bytes, to its bucket. There a hash of
-   each window drops the stretches without a window that two documents have.
+2. Stretches. The windows around a shared minimizer go, as bytes, to its bucket: from a block each
+   distinct stretch once, with its least and largest doc_id. There equal stretches become one, and
+   a hash of each window drops those without a window that two documents have.
 3. Index. A bucket's distinct stretches form a repetitive collection. Its Burrows-Wheeler transform
    is kept as runs, with the suffix array sampled at the run ends, and the rows whose suffixes agree
    on SPAN bytes carry the least doc_id of their documents. Matching statistics are streamed: all
    stretches walk the index backwards together, a step for each byte, and where a match is SPAN
    bytes or longer and the least doc_id is smaller than the document's, the window is marked.
-4. The marks return to the documents, and their bytes are cut.
+4. The marks return to the blocks, which find the stretch's occurrences again and cut their bytes.
 
-A bucket is a bounded share of the corpus, as there are as many as the input needs. Nulls: a null
+There are as many buckets as the input needs, but all of a minimizer's stretches are in one: for each
+distinct string that holds it a row of the index, and a copy for each block of BLOCK_DOCS documents
+that has it, not for each document. Nulls: a null
 text is empty; a null doc_id counts as larger than all others. Rows with equal doc_ids do not remove
 each other's bytes. An empty table gives an empty result. Texts are processed whole.
 """
@@ -274,8 +277,23 @@ def _texts(part: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]
     return np.frombuffer(i, np.uint16), x, sizes, [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
+def _first_places(raw: bytes, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The number of each string of raw among the distinct ones, and these in the order of their first places."""
+    known: dict[bytes, int] = {}
+    number = np.fromiter((known.setdefault(raw[a:a + n], len(known)) for a, n in zip(begin.tolist(), size.tolist())), np.int64, len(size))
+    return number, list(known)
+
+
+def _extremes(number: np.ndarray, n: int, least: np.ndarray, largest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    lo, hi = np.full(n, NO_ID, np.int64), np.full(n, np.iinfo(np.int64).min, np.int64)
+    np.minimum.at(lo, number, least)
+    np.maximum.at(hi, number, largest)
+    return lo, hi
+
+
 def stretches(buckets: int):
-    """A block's stretches of windows around shared minimizers (S), by bucket."""
+    """A block's distinct stretches of windows around shared minimizers (S), by bucket: the first place (document
+    and start), size, and the least and largest id of the documents that hold it."""
 
     def run(table: pa.Table) -> pa.Table:
         shared = [unplanes(a) for _, a, _, _ in _parts(table, "R")]
@@ -291,82 +309,114 @@ def stretches(buckets: int):
             runs, m = runs[hit], m[hit]
             if not len(m):
                 continue
-            bucket = (((m >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+            size = runs[:, 1] - runs[:, 0] + SPAN
+            number, strings = _first_places(data.tobytes(), runs[:, 0], size)
+            ids = x[doc[runs[:, 0]]]
+            lo, hi = _extremes(number, len(strings), ids, ids)
+            first = np.unique(number, return_index=True)[1]
+            bucket = (((m[first] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            runs, bucket = runs[order], bucket[order]
+            bucket, place = bucket[order], first[order]
             begin = np.cumsum(sizes) - sizes
-            of = doc[runs[:, 0]]
-            size = runs[:, 1] - runs[:, 0] + SPAN
+            of = doc[runs[place, 0]]
+            facts = np.stack([size[place], runs[place, 0] - begin[of], lo[order], hi[order]])
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cuts)):
                 s = slice(cuts[b], cuts[b + 1])
-                n, start = size[s], runs[s, 0]
-                take = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                out.append((int(b), "S", part[0], squeeze.compress(data[take].tobytes()), i[of[s]].tobytes(),
-                            np.concatenate([n, start - begin[of[s]], x[of[s]]]).astype(np.int64).tobytes()))
+                out.append((int(b), "S", part[0], squeeze.compress(b"".join(strings[k] for k in order[s])), i[of[s]].tobytes(),
+                            np.ascontiguousarray(facts[:, s], np.int64).tobytes()))
         return _table(out)
 
     return run
 
 
 def mark_bucket(table: pa.Table) -> pa.Table:
-    """The parts of a bucket's stretches that occur in a document with a smaller id (P)."""
+    """For the windows of a bucket's stretches the least id of an equal window, where it is below the stretch's largest (P)."""
     parts = list(_parts(table, "S"))
-    facts = [np.frombuffer(p[3], np.int64).reshape(3, -1) for p in parts]
+    facts = [np.frombuffer(p[3], np.int64).reshape(4, -1) for p in parts]
     if not parts:
         return _table([])
     unsqueeze = zstandard.ZstdDecompressor()
-    data = np.frombuffer(b"".join(unsqueeze.decompress(p[1], max_output_size=int(f[0].sum())) for p, f in zip(parts, facts)), np.uint8)
-    size, start, x = (np.concatenate(y) for y in zip(*facts))
+    raw = b"".join(unsqueeze.decompress(p[1], max_output_size=int(f[0].sum())) for p, f in zip(parts, facts))
+    size, start, least, largest = (np.concatenate(y) for y in zip(*facts))
     i = np.concatenate([np.frombuffer(p[2], np.uint16) for p in parts])
     part = np.repeat(np.arange(len(parts)), [f.shape[1] for f in facts])
-    begin = np.cumsum(size) - size
-    # candidate stretches: those with a window of which two documents have the hash
-    windows = size - SPAN + 1
-    of = np.repeat(np.arange(len(size), dtype=np.int32), windows)
+    number, strings = _first_places(raw, np.cumsum(size) - size, size)
+    del raw, facts
+    lo, hi = _extremes(number, len(strings), least, largest)
+    # candidates: strings with a window of which two documents have the hash
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    sizes = np.array([len(s) for s in strings], np.int64)
+    begin, windows = np.cumsum(sizes) - sizes, sizes - SPAN + 1
+    of = np.repeat(np.arange(len(sizes), dtype=np.int32), windows)
     at = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
     h = string_hashes(data, SPAN)[at]
     order = np.argsort(h)
     h, of = h[order], of[order]
     del at, order
     group = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    owner = x[of]
-    several = np.minimum.reduceat(owner, group) < np.maximum.reduceat(owner, group)
-    keep = np.zeros(len(size), bool)
+    several = np.minimum.reduceat(lo[of], group) < np.maximum.reduceat(hi[of], group)
+    keep = np.zeros(len(sizes), bool)
     keep[of[np.repeat(several, np.diff(np.append(group, len(h))))]] = True
-    del h, of, owner, group
+    del h, of, group, data
     chosen = np.flatnonzero(keep)
     if not len(chosen):
         return _table([])
-    # distinct strings, with the least of their owners
-    raw, number, known = data.tobytes(), np.empty(len(chosen), np.int64), {}
-    for k, (a, n) in enumerate(zip(begin[chosen].tolist(), size[chosen].tolist())):
-        number[k] = known.setdefault(raw[a:a + n], len(known))
-    strings = list(known)
-    owners = np.full(len(strings), NO_ID, np.int64)
-    np.minimum.at(owners, number, x[chosen])
-    sizes = np.array([len(s) for s in strings], np.int64)
-    index = RunIndex(np.frombuffer(b"".join(strings), np.uint8), sizes, owners)
-    least = index.stream()
-    # back from strings to their occurrences
-    n = (sizes - SPAN + 1)[number]
-    first = (np.cumsum(sizes - SPAN + 1) - (sizes - SPAN + 1))[number]
-    offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    mine = np.repeat(np.arange(len(chosen)), n)
-    hit = least[first[mine] + offset] < x[chosen][mine]
-    mine, offset = mine[hit], offset[hit]
-    if not len(mine):
-        return _table([])
-    new = np.concatenate([[True], (mine[1:] != mine[:-1]) | (offset[1:] != offset[:-1] + 1)])
-    a = np.flatnonzero(new)
-    b = np.append(a[1:], len(mine)) - 1
-    occurrence = chosen[mine[a]]
-    from_, to = start[occurrence] + offset[a], start[occurrence] + offset[b] + SPAN
-    home = part[occurrence]
-    cuts = np.searchsorted(home, np.arange(len(parts) + 1))
-    return _table([(0, "P", parts[p][0], b"", i[occurrence][cuts[p]:cuts[p + 1]].tobytes(),
-                    np.stack([from_[cuts[p]:cuts[p + 1]], to[cuts[p]:cuts[p + 1]]]).astype(np.int64).tobytes())
-                   for p in range(len(parts)) if cuts[p + 1] > cuts[p]])
+    windows = windows[chosen]
+    index = RunIndex(np.frombuffer(b"".join(strings[k] for k in chosen), np.uint8), sizes[chosen], lo[chosen])
+    found = index.stream()
+    del index, strings
+    # back from strings to the blocks' stretches, a run of windows at a time
+    string = np.full(len(keep), -1, np.int64)
+    string[chosen] = np.arange(len(chosen))
+    mine = np.flatnonzero(keep[number])
+    own = string[number[mine]]
+    base, n = (np.cumsum(windows) - windows)[own], windows[own]
+    turn = np.cumsum(n) // RUN
+    out = []
+    for s in np.split(np.arange(len(mine)), np.flatnonzero(np.diff(turn)) + 1):
+        offset = np.arange(int(n[s].sum())) - np.repeat(np.cumsum(n[s]) - n[s], n[s])
+        e = np.repeat(mine[s], n[s])
+        low = found[np.repeat(base[s], n[s]) + offset]
+        hit = low < largest[e]
+        e, offset, low = e[hit], offset[hit], low[hit]
+        if not len(e):
+            continue
+        a = np.flatnonzero(np.concatenate([[True], (e[1:] != e[:-1]) | (offset[1:] != offset[:-1] + 1) | (low[1:] != low[:-1])]))
+        b = np.append(a[1:], len(e)) - 1
+        spans = np.stack([start[e[a]], offset[a], offset[b] + SPAN, low[a]]).astype(np.int64)
+        home, docs = part[e[a]], i[e[a]]
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])), len(home))
+        out += [(0, "P", parts[home[u]][0], b"", docs[u:v].tobytes(), np.ascontiguousarray(spans[:, u:v]).tobytes())
+                for u, v in zip(cuts, cuts[1:])]
+    return _table(out)
+
+
+def _spread(texts: list[bytes], x: np.ndarray, doc_of: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The marks of all occurrences of the stretches that start at the given places: document, from, to.
+
+    spans: start in the document, from and to in the stretch, and the least id, which marks documents with a larger one."""
+    data, doc, runs, m = _windows(texts)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    begin, size = np.cumsum(sizes) - sizes, runs[:, 1] - runs[:, 0] + SPAN
+    at = np.searchsorted(runs[:, 0], begin[doc_of] + spans[0])
+    order = np.argsort(at, kind="stable")
+    at, spans = at[order], spans[:, order]
+    heads, first = np.unique(at, return_index=True)
+    count = np.diff(np.append(first, len(at)))
+    raw = data.tobytes()
+    known = {raw[a:a + n]: k for k, (a, n) in enumerate(zip(runs[heads, 0].tolist(), size[heads].tolist()))}
+    near = np.flatnonzero(np.isin(m, m[heads]))
+    which = np.fromiter((known.get(raw[a:a + n], -1) for a, n in zip(runs[near, 0].tolist(), size[near].tolist())), np.int64, len(near))
+    near, which = near[which >= 0], which[which >= 0]
+    # a stretch can have marks from several runs of windows
+    n = count[which]
+    k = np.repeat(first[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    occurrence = np.repeat(runs[near, 0], n)
+    of = doc[occurrence]
+    hit = spans[3][k] < x[of]
+    k, of, start = k[hit], of[hit], (occurrence - begin[of])[hit]
+    return of, start + spans[1][k], start + spans[2][k]
 
 
 CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
@@ -375,8 +425,9 @@ CUT_SQL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 def cut_block(table: pa.Table) -> pa.Table:
     """A block's documents without the marked bytes."""
-    marks = [(np.frombuffer(i, np.uint16), *np.frombuffer(e, np.int64).reshape(2, -1)) for _, _, i, e in _parts(table, "P")]
-    i_of, from_, to = (np.concatenate(y) for y in zip(*marks)) if marks else (np.empty(0, np.uint16), *[np.empty(0, np.int64)] * 2)
+    marks = [(np.frombuffer(i, np.uint16), np.frombuffer(e, np.int64).reshape(4, -1)) for _, _, i, e in _parts(table, "P")]
+    i_of = np.concatenate([np.empty(0, np.uint16), *[i for i, _ in marks]])
+    spans_of = np.concatenate([np.empty((4, 0), np.int64), *[e for _, e in marks]], axis=1)
     out = []
     for part in _parts(table, "M"):
         i, x, sizes, texts = _texts(part)
@@ -385,9 +436,10 @@ def cut_block(table: pa.Table) -> pa.Table:
         begin = np.cumsum(sizes + 1) - sizes - 1  # a free place after each document keeps spans apart
         change = np.zeros(int((sizes + 1).sum()) + 1, np.int64)
         mine = place[i_of] >= 0
-        base = begin[place[i_of[mine]]]
-        np.add.at(change, base + from_[mine], 1)
-        np.add.at(change, base + to[mine], -1)
+        if mine.any():
+            of, from_, to = _spread(texts, x, place[i_of[mine]], spans_of[:, mine])
+            np.add.at(change, begin[of] + from_, 1)
+            np.add.at(change, begin[of] + to, -1)
         gone = np.cumsum(change) > 0
         for k, text in enumerate(texts):
             g = gone[begin[k]:begin[k] + len(text)]
