@@ -334,6 +334,23 @@ def test_url_model_on_held_out_urls(spark):
     assert urls.fit(train.filter("label = 0")).bias < 0
 
 
+def test_url_labels_are_kept_apart_from_pages(spark, tmp_path):
+    from tidelake.llm import queries, url_labels
+
+    six = ("casino-win", "cheap-pills", "adult-x", "free-bets", "ads-track", "spam-farm")
+    table = url_labels.url_labels()
+    assert not any(name in u for u, _ in table for name in six) and {y for _, y in table} == {0, 1}
+    model = urls.fit(url_labels.labelled(spark, url_labels.url_labels(lambda k: k % 4)))
+    held_out = spark.createDataFrame(url_labels.url_labels(lambda k: k % 4 == 0), "url string, y int")
+    n = Counter((r.y, r.verdict) for r in urls.judge(held_out, model, rules=()).select("row.y", "verdict").collect())
+    assert n[1, "block"] > 0.5 * (n[1, "block"] + n[1, "allow"]) and n[1, "block"] > 0.6 * (n[1, "block"] + n[0, "block"])
+    hosts = ["casino-win", "free-bets", "m.ads-track"] + ["www.gardening-news", "city-library"] * 5
+    pages = spark.createDataFrame([(i, f"http://{h}.example.com/en/{i}") for i, h in enumerate(hosts)], "page_id long, url string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    said = {r.page_id: r.verdict for r in queries.op3_urls(spark, str(tmp_path)).collect()}
+    assert [said[i] for i in range(3)] == ["block"] * 3 and all(said[i] == "allow" for i in range(3, len(hosts)))
+
+
 # ---- mixing
 
 def plain_targets(sizes, weights=(1, 2, 3)):

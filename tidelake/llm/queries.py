@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, lines, media, mixing, packing, quality, suffix, toxicity, urls, warc
+from . import jaccard, lines, media, mixing, packing, quality, suffix, toxicity, url_labels, urls, warc
 from .common import materialise, shared_path
 
 
@@ -33,15 +33,9 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(":", "m.frames", F.size("m.codes"), F.lower(F.hex(F.xxhash64("m.times", "m.codes")))).alias("feature"))
 
 
-#: Words in hosts by which the small labelled URL table is made.
-BLOCKED_HOST_WORDS = ("pill", "casino", "adult", "poker", "xxx", "viagra", "porn", "betting", "loan")
-
-
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    host = urls.host_of(F.col("url"))
-    labelled = pages.select("url", host.rlike("|".join(BLOCKED_HOST_WORDS)).cast("int").alias("label"))
-    model = urls.fit(labelled)
+    model = urls.fit(url_labels.labelled(spark))
     return urls.judge(pages, model, carry=["page_id"]).select("row.page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
 
