@@ -5,7 +5,11 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +39,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int, most_rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of so many rows and bytes of the (text) column at most, or of one row that is longer."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).tolist()
+    first, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > first and (held + size > most_bytes or i - first == most_rows):
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += size
+    if batch.num_rows > first:
+        yield batch.slice(first)
+
+
+def drop_tables(*tables: DataFrame | None) -> None:
+    """Delete tables that materialise() wrote, when what was made of them is written too."""
+    for df in tables:
+        path = getattr(df, "written_at", None)
+        if path:
+            hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def buckets_for(df: DataFrame, bytes_each: int) -> int:
@@ -45,7 +73,7 @@ def buckets_for(df: DataFrame, bytes_each: int) -> int:
     """
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     known = size if size < 1 << 60 else 0
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(known // bytes_each, 1 << 20))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // bytes_each)
 
 
 def release(spark: SparkSession) -> None:

@@ -2,22 +2,29 @@
 
 Candidates must share a prefix token under each of three global token orders: rarity (document
 frequency, ties by hash) and two hash orders. The rarity order finds the pairs, the other two thin
-them, and exact set intersection decides. How it scales:
+them before any set is moved, and exact set intersection decides. How it scales:
 
 * Documents are shingled once, in blocks. A block sends each bucket of the hash space its tokens,
   packed as bytes; tokens that are frequent in the block go as one count, so no bucket receives a
   frequent token more than once from a block. Tokens that occur in one document only cannot be
   shared: they fill the front of the rarity prefix unseen, and most documents need no more than that.
 * Equal sets are one class, whatever their number.
+* A posting (class, prefix token) knows the largest partner that the token's place in the rarity
+  order allows: the overlap cannot exceed what follows it. Both sides have to allow each other.
 * In a list of classes that share a prefix token, pairs are not enumerated. In each round the list
-  has one pivot, each class is compared with the pivot it shares most tokens with, and classes that
-  are linked get one label. Only pairs with different labels are still open. When few are left, they
-  are all compared. No pair that could join two components is left out.
+  has one pivot, each class is compared with the pivots it shares most tokens with, and classes that
+  are linked get one label. Lists of one label are closed, and so are postings without a possible
+  partner; only open ones are kept for the next round. When few pairs are open, they are all
+  compared. No pair that could join two components is left out.
+* Labels are joined by alternating large-star and small-star steps on the graph of labels.
 
 Nulls: a null or empty text, and one without words, has an empty set and is linked with nothing; a
 null doc_id takes part, and is a component's id only if it has no other. Rows are documents of their
 own, so repeated rows are linked. Fewer than five words are one shingle. An empty table gives an
-empty result. Shingles and sets are compared by 64-bit and 128-bit hashes.
+empty result. A text of any length is one set; a block holds BLOCK_BYTES of text or one longer text.
+Columns other than doc_id and text do not come along in components(); one_of_each() keeps them all,
+whatever their names. Sets are counted and told apart by 64-bit hashes of shingles, and compared by
+the first 48 bits of these.
 """
 
 from __future__ import annotations
@@ -29,11 +36,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, key128, materialise, release, text_or_empty
+from .common import buckets_for, drop_tables, key128, materialise, release, slices, text_or_empty
 
 SHINGLE = 5
 #: Similar: PERCENT of the union or more is shared.
@@ -41,6 +49,9 @@ PERCENT = 75
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 ORDERS = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 MARK = 0xFFFF
+#: What of a token is sent and compared.
+KEPT_BITS = np.uint64(0xFFFFFFFFFFFF0000)
+BLOCK_BYTES = 1 << 23
 
 
 @dataclass(frozen=True)
@@ -48,10 +59,10 @@ class Params:
     block_docs: int = 1024
     #: Tokens of at least so many documents of a block are sent as one count.
     frequent: int = 64
-    max_rounds: int = 8
+    max_rounds: int = 6
     #: In a round a class is compared with the pivots that it shares most tokens with, so many at most; the rest stay open.
     pivots: int = 4
-    #: Open pairs are enumerated when there are at most so many for each prefix token (a pair counts for each that it shares).
+    #: Open pairs are enumerated when there are at most so many for each posting (a pair counts for each token that it shares).
     open_per_token: float = 4.0
 
 
@@ -105,6 +116,16 @@ def unplanes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
+def small(a: np.ndarray) -> bytes:
+    """Numbers by place, compressed."""
+    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes(), 1)
+
+
+def unsmall(b: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 PACKED = pa.schema([("route", pa.int64()), ("kind", pa.string()), ("block", pa.int64()),
                     ("tokens", pa.binary()), ("docs", pa.binary()), ("extra", pa.binary())])
 PACKED_SQL = "route long, kind string, block long, tokens binary, docs binary, extra binary"
@@ -119,8 +140,8 @@ def shingle_blocks(docs: DataFrame, buckets: int, params: Params) -> DataFrame:
         meta = np.zeros((len(sets), 8), np.uint64)
         for i, s in enumerate(sets):
             if len(s):
-                p = prefix_size(len(s))
-                meta[i, 4:6] = [np.partition(s * o, p - 1)[p - 1] for o in ORDERS]
+                p, t = prefix_size(len(s)), s & KEPT_BITS
+                meta[i, 4:6] = [np.partition(t * o, p - 1)[p - 1] for o in ORDERS]
                 x = s * ORDERS[0]
                 meta[i, 2:4] = s.sum(), np.bitwise_xor.reduce(x ^ (x >> np.uint64(33)))
         meta[:, 0] = np.array([0 if i is None else i for i in ids], np.int64).view(np.uint64)
@@ -129,7 +150,7 @@ def shingle_blocks(docs: DataFrame, buckets: int, params: Params) -> DataFrame:
         null = np.array([i is None for i in ids], np.uint8)
         home = block % buckets
         yield home, "M", block, meta.tobytes(), null.tobytes(), b""
-        tokens = np.concatenate(sets)
+        tokens = np.concatenate(sets) & KEPT_BITS
         if not len(tokens):
             return
         owner = np.repeat(np.arange(len(sets), dtype=np.uint16), n)
@@ -140,7 +161,7 @@ def shingle_blocks(docs: DataFrame, buckets: int, params: Params) -> DataFrame:
         often = counts >= params.frequent
         if often.any():
             mine = np.repeat(often, counts)
-            yield home, "H", block, planes(tokens[mine]), owner[mine].tobytes(), b""
+            yield home, "H", block, planes(tokens[mine]), small(owner[mine]), b""
             first = np.zeros(len(tokens), bool)
             first[starts] = True
             keep = ~mine | first
@@ -154,26 +175,27 @@ def shingle_blocks(docs: DataFrame, buckets: int, params: Params) -> DataFrame:
         marks = np.concatenate([[0], np.cumsum(owner == MARK)])
         for b in np.flatnonzero(np.diff(cuts)):
             i, j = cuts[b], cuts[b + 1]
-            yield int(b), "T", block, planes(tokens[i:j]), owner[i:j].tobytes(), weights[marks[i]:marks[j]].tobytes()
+            yield int(b), "T", block, planes(tokens[i:j]), small(owner[i:j]), weights[marks[i]:marks[j]].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, block = kept_words(), TaskContext.get().partitionId() << 32
-        held: list[list] = [[], [], []]
+        held: list[list] = [[], [], [], []]
+        size = 0
 
         def emit() -> Iterator[pa.RecordBatch]:
-            nonlocal block, held
-            rows = list(zip(*block_rows(*held, block, words)))
-            block, held = block + 1, [[], [], []]
+            nonlocal block, held, size
+            ids, k1, k2, texts = held
+            rows = list(zip(*block_rows(ids, list(zip(k1, k2)), texts, block, words)))
+            block, held, size = block + 1, [[], [], [], []], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, PACKED)], schema=PACKED)
 
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for doc_id, k1, k2, text in zip(*columns):
-                held[0].append(doc_id)
-                held[1].append((k1, k2))
-                held[2].append(text)
-                if len(held[0]) == params.block_docs:
+            for part in slices(batch, 3, BLOCK_BYTES, params.block_docs):
+                if held[0] and (size + part.nbytes > BLOCK_BYTES or len(held[0]) + part.num_rows > params.block_docs):
                     yield from emit()
+                for column, values in zip(held, part.columns):
+                    column.extend(values.to_pylist())
+                size += part.nbytes
         if held[0]:
             yield from emit()
 
@@ -186,7 +208,7 @@ def count_bucket(table: pa.Table) -> pa.Table:
     rest = table.filter(pc.not_equal(table["kind"], "T"))
     if not own.num_rows:
         return rest
-    rows = [(unplanes(t.as_py()), np.frombuffer(d.as_py(), np.uint16), np.frombuffer(e.as_py(), np.uint32))
+    rows = [(unplanes(t.as_py()), unsmall(d.as_py(), np.uint16), np.frombuffer(e.as_py(), np.uint32))
             for t, d, e in zip(own["tokens"], own["docs"], own["extra"])]
     tokens = np.concatenate([r[0] for r in rows])
     owner = np.concatenate([r[1] for r in rows])
@@ -203,7 +225,7 @@ def count_bucket(table: pa.Table) -> pa.Table:
     tokens, owner, part, df = tokens[keep], owner[keep], part[keep], np.minimum(df[keep], 2**32 - 1).astype(np.uint32)
     cuts = np.searchsorted(part, np.arange(len(rows) + 1))
     block = own["block"].to_pylist()
-    out = [(0, "R", block[i], planes(tokens[a:b]), owner[a:b].tobytes(), df[a:b].tobytes())
+    out = [(0, "R", block[i], planes(tokens[a:b]), small(owner[a:b]), small(df[a:b]))
            for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
     if not out:
         return rest
@@ -212,21 +234,22 @@ def count_bucket(table: pa.Table) -> pa.Table:
 
 
 PROFILE = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("key", pa.binary()),
-                     ("shared", pa.list_(pa.int64())), ("p1", pa.int32()), ("p2", pa.list_(pa.int64())), ("p3", pa.list_(pa.int64()))])
+                     ("shared", pa.list_(pa.int64())), ("p1", pa.int32()), ("p2", pa.list_(pa.int32())), ("p3", pa.list_(pa.int32()))])
 PROFILE_SQL = ("doc_id long, k1 long, k2 long, n long, key binary, shared array<long>, p1 int, "
-               "p2 array<long>, p3 array<long>")
+               "p2 array<int>, p3 array<int>")
 
 
 def profile_block(table: pa.Table) -> pa.Table:
     """A block's documents: n, key (of the set), and for those that can be similar to another their shared
-    tokens by rarity, of which the first p1 are the rarity prefix, and the other two prefixes' shared tokens."""
+    tokens by rarity, of which the first p1 are the rarity prefix, and the first 32 bits of the other two prefixes'
+    shared tokens."""
     kinds = np.array(table["kind"].to_pylist())
     get = lambda c, k: [table[c][int(i)].as_py() for i in np.flatnonzero(kinds == k)]
     meta = np.frombuffer(get("tokens", "M")[0], np.uint64).reshape(-1, 8)
     null = np.frombuffer(get("docs", "M")[0], np.uint8).astype(bool)
     n = meta[:, 1].astype(np.int64)
     none = (np.empty(0, np.uint64), np.empty(0, np.uint16), np.empty(0, np.uint32))
-    rows = [none] + [(unplanes(t), np.frombuffer(d, np.uint16), np.frombuffer(e, np.uint32))
+    rows = [none] + [(unplanes(t), unsmall(d, np.uint16), unsmall(e, np.uint32))
                      for t, d, e in zip(get("tokens", "R"), get("docs", "R"), get("extra", "R"))]
     tokens, owner, df = (np.concatenate(x) for x in zip(*rows))
     marked = owner == MARK
@@ -234,7 +257,7 @@ def profile_block(table: pa.Table) -> pa.Table:
         order = np.argsort(tokens[marked])
         known, known_df = tokens[marked][order], df[marked][order]
         hot = [unplanes(t) for t in get("tokens", "H")]
-        hot_docs = [np.frombuffer(d, np.uint16) for d in get("docs", "H")]
+        hot_docs = [unsmall(d, np.uint16) for d in get("docs", "H")]
         h = np.concatenate(hot)
         tokens = np.concatenate([tokens[~marked], h])
         owner = np.concatenate([owner[~marked], *hot_docs])
@@ -252,13 +275,13 @@ def profile_block(table: pa.Table) -> pa.Table:
         t = tokens[cuts[i]:cuts[i + 1]] if can[i] else None
         lists[0].append(None if t is None else t.view(np.int64))
         for k, o in enumerate(ORDERS):
-            lists[k + 1].append(None if t is None else t[t * o <= meta[i, 4 + k]].view(np.int64))
+            lists[k + 1].append(None if t is None else (t[t * o <= meta[i, 4 + k]] >> np.uint64(32)).astype(np.uint32).view(np.int32))
     key = [k.tobytes() for k in np.ascontiguousarray(meta[:, 1:4])]
     column = lambda j: meta[:, j].view(np.int64) if meta[:, j].flags.c_contiguous else np.ascontiguousarray(meta[:, j]).view(np.int64)
     return pa.Table.from_arrays([
         pa.array(column(0), mask=null), pa.array(column(6)), pa.array(column(7)), pa.array(n), pa.array(key, pa.binary()),
         pa.array(lists[0], pa.list_(pa.int64())), pa.array(np.maximum(room, 0).astype(np.int32)),
-        pa.array(lists[1], pa.list_(pa.int64())), pa.array(lists[2], pa.list_(pa.int64()))], schema=PROFILE)
+        pa.array(lists[1], pa.list_(pa.int32())), pa.array(lists[2], pa.list_(pa.int32()))], schema=PROFILE)
 
 
 def profiles(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -266,111 +289,125 @@ def profiles(docs: DataFrame, params: Params = Params()) -> DataFrame:
     buckets = buckets_for(docs, 1 << 24)
     k1, k2 = key128(text_or_empty("text"))
     rows = shingle_blocks(docs.select(F.col("doc_id").cast("long"), k1.alias("k1"), k2.alias("k2"), "text"), buckets, params)
-    counted = rows.groupBy("route").applyInArrow(count_bucket, PACKED_SQL)
-    return counted.groupBy("block").applyInArrow(profile_block, PROFILE_SQL)
+    counted = rows.repartition(buckets, "route").groupBy("route").applyInArrow(count_bucket, PACKED_SQL)
+    return counted.repartition(buckets, "block").groupBy("block").applyInArrow(profile_block, PROFILE_SQL)
 
 
 def similar(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of classes, those that share prefix tokens under the other orders too, and are similar."""
-    side = lambda s: classes.select(F.col("key").alias(s), F.struct("n", "shared", "p2", "p3").alias(f"{s}_"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.filter(F.arrays_overlap("a_.p2", "b_.p2") & F.arrays_overlap("a_.p3", "b_.p3"))
+    """Of pairs (a, b) of classes, those that share prefix tokens under the other orders too, and are similar.
+
+    The two filters come first, on the prefixes alone; sets are moved for what is left.
+    """
+    side = lambda s, *c: classes.select(F.col("id").alias(s), F.struct(*c).alias(f"{s}_"))
+    both = pairs.join(side("a", "p2", "p3"), "a").join(side("b", "p2", "p3"), "b")
+    both = both.filter(F.arrays_overlap("a_.p2", "b_.p2") & F.arrays_overlap("a_.p3", "b_.p3")).select("a", "b")
+    both = both.join(side("a", "n", "shared"), "a").join(side("b", "n", "shared"), "b")
     common = F.size(F.array_intersect("a_.shared", "b_.shared"))
     return (both.select("a", "b", common.alias("i"), (F.col("a_.n") + F.col("b_.n")).alias("n"))
             .filter(100 * F.col("i") >= PERCENT * (F.col("n") - F.col("i"))).select("a", "b"))
 
 
-def fits(n: str, m: str):
-    """Sizes that similar sets can have."""
-    return (F.col(n) * 100 >= F.col(m) * PERCENT) & (F.col(m) * 100 >= F.col(n) * PERCENT)
+def allowed(n: str, most: str, other_n: str, other_most: str):
+    """Whether two postings of a token allow each other: sizes that similar sets can have, and the token not too late in either."""
+    n, most, other_n, other_most = map(F.col, (n, most, other_n, other_most))
+    return ((n * 100 >= other_n * PERCENT) & (other_n * 100 >= n * PERCENT) & (other_n <= most) & (n <= other_most))
 
 
-def enough(common: str, n: str, m: str):
-    """Whether sets of n and m tokens that have so many common rarity-prefix tokens can be similar.
+def stars(edges: DataFrame) -> DataFrame:
+    """x, y: each node of the graph of edges (x, y), x <> y, that is not its component's least, with the least.
 
-    Of the two, that whose prefix ends first in the order shares no token of its prefix that is not
-    in the other's prefix too, and its other tokens are one less than what it needs to share.
+    Large-star and small-star steps in turn, until every component is a star. Minima are taken where edges are
+    read, so a node of many edges is not gathered.
     """
-    need = lambda x: F.ceil(F.col(x) * PERCENT / 100)
-    least = F.ceil((F.col(n) + F.col(m)) * PERCENT / (100 + PERCENT))
-    return F.col(common) + F.greatest(need(n), need(m)) - 1 >= least
+    down = edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    spent = None
+    while True:
+        down = materialise(down, "stars")
+        drop_tables(spent)
+        spent = down
+        open_ = down.groupBy("x").agg(F.count("*").alias("c")).filter("c > 1").limit(1)
+        if open_.isEmpty() and down.join(down.select(F.col("x").alias("y")), "y", "left_semi").limit(1).isEmpty():
+            return down
+        both = down.unionByName(down.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
+        large = both.filter("y > x").join(least, "x").filter("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        large = materialise(large, "stars")
+        least = large.groupBy("x").agg(F.min("y").alias("m"))
+        down = (large.join(least, "x").filter("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
+                .unionByName(least.select("x", F.col("m").alias("y"))).distinct())
 
 
 def merge(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
-    """labels (key, label) after one step along the links (a, b) that join different labels; whether there were any."""
-    of = lambda s: labels.select(F.col("key").alias(s), F.col("label").alias(f"{s}_label"))
+    """labels (id, label) after all links (a, b); whether any joined two labels."""
+    of = lambda s: labels.select(F.col("id").alias(s), F.col("label").alias(f"{s}_label"))
     cross = (links.join(of("a"), "a").join(of("b"), "b").filter("a_label <> b_label")
-             .select(F.col("a_label").alias("x"), F.col("b_label").alias("y")).distinct())
-    cross = materialise(cross.unionByName(cross.select(F.col("y").alias("x"), F.col("x").alias("y"))), "label-links")
+             .select(F.col("a_label").alias("x"), F.col("b_label").alias("y")))
+    cross = materialise(cross, "label-links")
     if cross.isEmpty():
         return labels, False
-    down = cross.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("y"))
-    for _ in range(2):  # follow the smaller labels
-        down = down.join(down.select(F.col("x").alias("y"), F.col("y").alias("z")), "y", "left").select(
-            "x", F.coalesce("z", "y").alias("y"))
+    down = stars(cross)
     new = (labels.join(down.select(F.col("x").alias("label"), "y"), "label", "left")
-           .select("key", F.coalesce("y", "label").alias("label")))
-    return materialise(new, "labels"), True
+           .select("id", F.coalesce("y", "label").alias("label")))
+    new = materialise(new, "labels")
+    drop_tables(labels, cross, down)
+    return new, True
 
 
 def linked_classes(rows: DataFrame, params: Params = Params()) -> DataFrame:
-    """key, label: classes (distinct sets) of one component have one label. rows: what profiles() returns, stored."""
-    prefixes = rows.filter("shared is not null").select("key", "n", F.slice("shared", F.lit(1), F.col("p1")).alias("tokens"))
-    post = prefixes.dropDuplicates(["key"]).select("key", "n", F.explode("tokens").alias("token"))
-    shared = post.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    post = materialise(post.join(shared, "token", "left_semi"), "postings")
-    labels = materialise(post.select("key", F.col("key").alias("label")).distinct(), "labels")
-    # one profile for each class that shares a token with another
-    profile = rows.filter("shared is not null").select("key", "n", "shared", "p2", "p3")
-    classes = materialise(profile.join(labels.select("key"), "key", "left_semi").dropDuplicates(["key"]), "shingle-classes")
-    release(rows.sparkSession)
-    postings = max(1, post.count())
-    links: list[DataFrame] = []
-    moved = True
+    """key, label: of the classes (distinct sets) that are linked with others; those of one component have one label.
+
+    rows: what profiles() returns, stored.
+    """
+    spark = rows.sparkSession
+    profile = rows.filter("shared is not null").select("key", "n", "shared", "p1", "p2", "p3")
+    classes = materialise(profile.dropDuplicates(["key"]).withColumn("id", F.monotonically_increasing_id()), "shingle-classes")
+    # the token at place i of s shared ones leaves an overlap of s - i + 1 at most, and so bounds the partner's size
+    most = F.floor((F.size("shared") - F.col("i")) * F.lit(100 + PERCENT) / PERCENT).cast("long") - F.col("n")
+    open_ = (classes.select("id", "n", "shared", F.posexplode(F.slice("shared", F.lit(1), F.col("p1"))).alias("i", "token"))
+             .select("id", "n", "token", most.alias("most"), F.col("id").alias("label")))
+    labels = materialise(classes.select("id", F.col("id").alias("label")), "labels")
+    release(spark)
+    n_open, moved, now_before = None, True, None
     for turn in range(params.max_rounds + 1):
-        now = post.join(labels, "key")
-        each = now.groupBy("token", "label").agg(
-            F.count("*").alias("c"), F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n", "label")).alias("pivot"))
-        lists = materialise(each.groupBy("token").agg(
-            F.min("pivot").alias("pivot"), F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels"),
-            ((F.sum("c").cast("double") * F.sum("c") - F.sum(F.col("c").cast("double") * F.col("c"))) / 2).alias("open"))
-            .filter("labels > 1"), "open-lists")
-        left = lists.agg(F.sum("open")).first()[0] or 0.0
-        if not left:
+        # at first the class that allows the largest partners, next to which the others have changed most; then any
+        score = F.col("most") - F.col("n") if turn == 0 else F.lit(0)
+        lists = open_.groupBy("token").agg(
+            F.count("*").alias("c"), F.min("n").alias("least_n"), F.max("most").alias("largest"),
+            F.max(F.struct(score.alias("score"), F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "most", "label")).alias("pivot"),
+            (F.min("label") < F.max("label")).alias("open")).filter("open and c > 1").drop("open")
+        now = (open_.join(lists, "token").filter("most >= least_n and n <= largest")
+               .select("token", "id", "n", "most", "label", "c", "pivot"))
+        spent, now = now_before, materialise(now, "open-lists")
+        drop_tables(spent)
+        now_before = now
+        facts = now.agg(F.count("*").alias("postings"), F.sum(F.when(F.col("label") != F.col("pivot.label"), F.col("c"))).alias("pairs")).first()
+        if not facts["pairs"]:
             break
-        last = left <= params.open_per_token * postings or turn == params.max_rounds or not moved
+        n_open = n_open or facts["postings"]
+        last = facts["pairs"] <= params.open_per_token * n_open or turn == params.max_rounds or not moved
         if last:
-            # pairs of a class outside the list's largest label with any class of another label: once for each shared token
-            a = now.join(lists.select("token", F.col("most.label").alias("most")), "token").filter("label <> most")
-            b = now.select("token", F.col("key").alias("b"), F.col("n").alias("bn"), F.col("label").alias("b_label"))
-            pairs = (a.select("token", F.col("key").alias("a"), "n", "label", "most").join(b, "token")
-                     .filter((F.col("label") != F.col("b_label")) & fits("n", "bn")
-                             & ((F.col("b_label") == F.col("most")) | (F.col("a") < F.col("b"))))
-                     .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-                              F.least("n", "bn").alias("n"), F.greatest("n", "bn").alias("bn"))
-                     .agg(F.count("*").alias("c"))
-                     .filter(enough("c", "n", "bn")).select("a", "b"))
+            # pairs of a class outside the label of the list's pivot with any class of another label
+            a = now.filter("label <> pivot.label").select("token", F.col("id").alias("a"), "n", "most", "label")
+            b = now.select("token", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("most").alias("b_most"), F.col("label").alias("b_label"))
+            pairs = (a.join(b, (a["token"] == b["token"]) & (F.col("label") != F.col("b_label")) & allowed("n", "most", "bn", "b_most"))
+                     .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            pairs = materialise(pairs, "open-pairs")
         else:
-            best = (now.join(lists.select("token", "pivot"), "token")
-                    .filter((F.col("label") != F.col("pivot.label")))
-                    .select("key", F.col("pivot.key").alias("b"), "n", F.col("pivot.n").alias("bn")).filter(fits("n", "bn"))
-                    .groupBy("key", "b", "n", "bn").agg(F.count("*").alias("c")))
+            best = (now.filter((F.col("label") != F.col("pivot.label")) & allowed("n", "most", "pivot.n", "pivot.most"))
+                    .groupBy("id", F.col("pivot.id").alias("b")).agg(F.count("*").alias("c")))
             # a class has no more pivots than prefix tokens, so this list is bounded
             few = F.slice(F.sort_array(F.collect_list(F.struct("c", "b")), asc=False), 1, params.pivots)
-            pairs = (best.groupBy("key").agg(few.alias("m")).select(F.col("key").alias("a"), F.explode("m").alias("m"))
-                     .select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct())
-        links.append(materialise(similar(pairs, classes), "links"))
-        labels, moved = merge(labels, links[-1])
+            pairs = (best.groupBy("id").agg(few.alias("m")).select(F.col("id").alias("a"), F.explode("m").alias("m"))
+                     .select("a", F.col("m.b").alias("b")))
+        links = materialise(similar(pairs, classes), "links")
+        labels, moved = merge(labels, links)
+        drop_tables(links, *[pairs] * last)
         if last:
             break
-    if links:
-        every = links[0]
-        for x in links[1:]:
-            every = every.unionByName(x)
-        more = True
-        while more:
-            labels, more = merge(labels, every)
-    return labels
+        open_ = now.drop("label", "c", "pivot").join(labels, "id")
+    found = materialise(classes.select("id", "key").join(labels, "id").select("key", "label"), "class-labels")
+    drop_tables(now, classes, labels)
+    return found
 
 
 def components(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -378,15 +415,12 @@ def components(docs: DataFrame, params: Params = Params()) -> DataFrame:
     rows = materialise(profiles(docs.select("doc_id", "text"), params), "shingle-profiles")
     release(rows.sparkSession)
     labels = linked_classes(rows, params)
-    ids = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least")).join(labels, "key", "left").select(
-        "key", "least", F.coalesce("label", "key").alias("label"))
-    ids = materialise(ids, "class-ids")
-    named = ids.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = ids.join(named, "label").select("key", "component_id")
-    full = rows.select("doc_id", "k1", "k2", "n", "key")
-    return (full.join(found, "key", "left")
-            .select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+    full = rows.filter("n > 0").select("doc_id", "k1", "k2", "n", "key")
+    ids = materialise(full.groupBy("key").agg(F.min("doc_id").alias("least")).join(labels, "key", "left"), "class-ids")
+    named = ids.filter("label is not null").groupBy("label").agg(F.min("least").alias("component_id"))
+    found = ids.join(named, "label", "left").select("key", F.coalesce("component_id", "least").alias("component_id"))
+    none = rows.filter("n = 0").select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return full.join(found, "key").select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), "component_id").unionByName(none)
 
 
 def one_of_each(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -401,10 +435,10 @@ def one_of_each(docs: DataFrame, params: Params = Params()) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
     full = rows.filter("n > 0").select("key", place.alias("place"))
     classes = full.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("c")).join(labels, "key", "left")
-    classes = materialise(classes.select("key", F.coalesce("label", "key").alias("label"), "first", "c"), "class-ids")
-    several = (classes.groupBy("label").agg(F.min("first").alias("kept"), F.sum("c").alias("c"))
-               .filter("c > 1").select("label", "kept"))
-    members = full.join(classes.join(several, "label").select("key", "kept"), "key")
+    classes = materialise(classes, "class-ids")
+    several = classes.filter("label is not null").groupBy("label").agg(F.min("first").alias("kept"))
+    groups = classes.join(several, "label", "left").select("key", F.coalesce("kept", "first").alias("kept"), "label", "c")
+    members = full.join(groups.filter("c > 1 or label is not null").select("key", "kept"), "key")
     members = materialise(members.select("place.doc_id", "place.k1", "place.k2", (F.col("place") == F.col("kept")).alias("stays")), "components")
     gone = materialise(members.filter("not stays").select("doc_id", "k1", "k2").distinct(), "duplicates")
     twice = members.filter("stays").groupBy("doc_id", "k1", "k2").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
