@@ -4,12 +4,13 @@ A document is routed to the smallest context tier that holds it; what is longer
 tier is first cut into whole windows of it. Each tier packs whole pieces while they fit; the gap
 that remains is filled with pieces of shorter tiers and then by a cut, so that every window is
 exactly full and needs no padding. A task's last tokens go into windows of falling powers of two.
-Windows are dealt into step groups of equal numbers of tokens.
+Windows are dealt into step groups of step_tokens tokens each; a task's last groups hold what is left.
 
 It is one pass over a table's partitions, without a shuffle and with a bounded buffer for each tier,
 so the sequences depend on the partitions of the input; a task that runs again makes the same ones.
 Nulls: a null text is an empty document, of one token (the end token); a null doc_id is kept.
-Repeated rows are packed each. An empty table gives an empty result. Texts are tokenized whole.
+Repeated rows are packed each. An empty table gives an empty result. Texts are tokenized whole, one
+longer than a slice (2 MB) by itself. Other columns do not come along.
 """
 
 from __future__ import annotations
@@ -24,7 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 END_ID = 1
+#: What is tokenized apart from the letter or digit before it.
+PUNCTUATION = ".,;:!?"
 SCHEMA = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, "
           "offset long, sequence_length long, tier long, step_id long")
 
@@ -36,80 +41,117 @@ class Packing:
     #: Windows' worth of tokens that a tier gathers before it packs.
     lookahead: int = 4
     step_tokens: int = 32768
-    #: Words in each of the tokenizer's two cache generations.
-    cache: int = 450_000
+    #: Words in each of the two generations of a worker's cache.
+    cache: int = 800_000
+
+
+class Words(dict):
+    """Word to token ids (bytes). A word that is not there yet gets an empty box, to be filled before it is read, and is listed in new."""
+
+    def __init__(self) -> None:
+        self.old: dict[str, bytes] = {}
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> bytes | bytearray:
+        if not word or word != word.strip():  # white space beside white space
+            raise KeyError(word)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = bytearray()
+            self.new.append(word)
+        self[word] = ids
+        return ids
+
+    def age(self, limit: int) -> None:
+        """What was not asked for since the last call but one of the calls that found it full is forgotten."""
+        if len(self) > limit:
+            self.old = dict(self)
+            self.clear()
 
 
 class Tokens:
     """Token ids of whole texts by the tokenizer's file, with a cache of words.
 
-    Between two spaces with no other white space beside them, the tokenizer's first step (its
-    pattern) always starts a new unit at the space, so the ids of such a stretch do not depend on
-    what is around it. Texts with white space beside a space are given to the tokenizer whole.
+    The tokenizer's first step (its pattern) starts a new unit at each white space that follows
+    another character, and between a letter or digit and punctuation. So the ids of a word with the
+    space before it, or of a word that starts a line, do not depend on what is around it, and those
+    of a line end between two words are always the same. Texts in which white space meets white
+    space, or that hold one of the tokenizer's added tokens, are given to the tokenizer whole.
     """
 
     def __init__(self, path: str, cache: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        starts = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for word, i in self.tokenizer.get_vocab().items():
+        vocab = self.tokenizer.get_vocab()
+        starts = np.zeros(max(vocab.values()) + 1, bool)
+        for word, i in vocab.items():
             starts[i] = word.startswith("Ġ")  # how byte-level vocabularies write a space
-        self.starts, self.cache, self.young, self.old = starts, cache, {}, {}
-        self.firsts: dict[str, bytes] = {}  # words that start a text, without a space before them
+        self.starts, self.cache = starts, cache
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.line_end = self.whole("\n")
+        self.spaced, self.bare = Words(), Words()
+        self.ends: dict[str, bytes] = {}  # punctuation that ends a word
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def first(self, word: str) -> bytes:
-        if word not in self.firsts:
-            if len(self.firsts) > self.cache // 10:
-                self.firsts.clear()
-            self.firsts[word] = self.whole(word).tobytes()
-        return self.firsts[word]
+    def row(self, text: str) -> list:
+        """The ids of the text's parts, some of which are boxes still."""
+        if any(x in text for x in self.added):
+            return [self.whole(text).tobytes()]
+        out, end, spaced = [], self.line_end.tobytes(), self.spaced.__getitem__
+        try:
+            for line in text.split("\n"):
+                first, *rest = line.split(" ")
+                out.append(self.bare[first])
+                out.extend(map(spaced, rest))
+                out.append(end)
+        except KeyError:
+            return [self.whole(text).tobytes()]
+        return out[:-1]
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        parts = [(text or "").split(" ") for text in texts]
-        seen = set().union(*[p[1:] for p in parts])
-        young, old = self.young, self.old
-        if len(young) + len(seen) > self.cache:
-            old, young = young, {}
-            self.old, self.young = old, young
-        new = []
-        for w in seen:
-            if w not in young:
-                if w not in old:
-                    new.append(w)
-                else:
-                    young[w] = old[w]
-        if new:
-            self.learn(new)
-        out = []
-        for text, p in zip(texts, parts):
-            if not text:
-                out.append(b"")
-            elif not p[0] or p[0] != p[0].strip():
-                out.append(self.whole(text).tobytes())
+        self.spaced.age(self.cache)
+        self.bare.age(self.cache // 4)
+        rows = [self.row(text) if text else [] for text in texts]
+        self.learn(self.spaced, " ", self.starts)
+        self.learn(self.bare, "\n", None)
+        return [b"".join(r) for r in rows]
+
+    def learn(self, words: Words, lead: str, starts: np.ndarray | None) -> None:
+        """Fills the boxes of new words: from what is known of the word without punctuation at its end, or by the tokenizer."""
+        plain, joined, new = [], [], words.new
+        words.new = []
+        for w in new:
+            base = w.rstrip(PUNCTUATION)
+            if base != w and base and base[-1].isalnum() and base[-1] < "\u0250":
+                joined.append((w, base, words[base]))
             else:
-                try:
-                    out.append(self.first(p[0]) + b"".join(map(young.__getitem__, p[1:])))
-                except TypeError:  # a stretch without ids: white space beside a space
-                    out.append(self.whole(text).tobytes())
-        return out
-
-    def learn(self, new: list[str]) -> None:
-        """Ids of stretches, with the space before each; None where white space would stand beside a space."""
-        self.young.update((w, None) for w in new if not w or w != w.strip())
-        new = [w for w in new if w not in self.young]
-        for i in range(0, len(new), 4000):
-            part = new[i:i + 4000]
-            ids = self.whole(" " + " ".join(part))
-            at = np.flatnonzero(self.starts[ids])
+                plain.append(w)
+        plain += words.new
+        words.new = []
+        for i in range(0, len(plain), 4000):
+            part = plain[i:i + 4000]
+            ids = self.whole(lead + lead.join(part))
+            at = np.flatnonzero(starts[ids]) if starts is not None else np.flatnonzero(ids == self.line_end[0])
             if len(at) != len(part):
-                raise ValueError("the tokenizer does not start a unit at each space")
+                raise ValueError("the tokenizer does not start a unit at each white space")
+            skip = 0 if starts is not None else 4
             data, cuts = ids.tobytes(), [*(at * 4).tolist(), len(ids) * 4]
-            self.young.update((w, data[cuts[k]:cuts[k + 1]]) for k, w in enumerate(part))
+            for k, w in enumerate(part):
+                self.fill(words, w, data[cuts[k] + skip:cuts[k + 1]])
+        for w, base, ids in joined:
+            end = w[len(base):]
+            if end not in self.ends:
+                self.ends[end] = self.whole(end).tobytes()
+            self.fill(words, w, bytes(ids) + self.ends[end])
+
+    @staticmethod
+    def fill(words: Words, word: str, ids: bytes) -> None:
+        box = words[word]
+        box += ids
+        words[word] = ids
 
 
 #: One for each tokenizer in a worker process, so that later tasks find the words of earlier ones.
@@ -230,8 +272,7 @@ def pack(docs: DataFrame, packing: Packing) -> DataFrame:
         packer = Packer(packing, TaskContext.get().partitionId() << 33)
         tokens = tokens_of(packing)
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
+            for part in slices(batch, 1, 1 << 21):
                 for doc_id, ids in zip(part.column(0).to_pylist(), tokens.batch(part.column(1).to_pylist())):
                     packer.add(doc_id, ids + end)
                 if len(packer.rows) > 1000:
