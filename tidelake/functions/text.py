@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,10 +12,6 @@ from pyspark.sql import functions as F
 # Fixed value: the pattern that an e-mail address has to match.
 EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
 
-# Accented letters and what they become in a slug.
-ACCENTED = "áéíóúüñàèìòùâêîôûäëïöçãõ"
-PLAIN = "aeiouunaeiouaeiouaeiocao"
-
 #: Normalisations by name. trim removes U+0020 only; title lowers all but the first letter between spaces.
 NORMALISE: dict[str, Callable[[Column], Column]] = {
     "trim": F.trim,
@@ -23,9 +21,27 @@ NORMALISE: dict[str, Callable[[Column], Column]] = {
 }
 
 
+@cache
+def _without_accents() -> tuple[str, str]:
+    """Characters whose compatibility decomposition, without combining marks, is one other character, and these; then the marks.
+
+    By Unicode's own tables, for the first plane. What becomes several characters (ligatures, Hangul) stays as it is.
+    """
+    from_, to, marks = [], [], []
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]):
+        if unicodedata.combining(c):
+            marks.append(c)
+            continue
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if plain != c and len(plain) == 1:
+            from_.append(c)
+            to.append(plain)
+    return "".join(from_ + marks), "".join(to)
+
+
 def slug(text: Column) -> Column:
-    """Lower case without accents, spaces and quotes."""
-    return F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), "[ '\"]", "")
+    """Lower case without accents, spaces and apostrophes."""
+    return F.regexp_replace(F.lower(F.translate(text, *_without_accents())), "[ ']", "")
 
 
 def cents(amount: Column) -> Column:

@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def last_cursor(df: DataFrame, column: str) -> str | None:
     """The greatest value as text; None for an empty table.
 
-    Text keeps the microseconds and the zone of every timestamp type, which a datetime would not.
+    Timestamps with a zone become microseconds since the epoch: their text would be in the session's
+    zone, where an hour comes twice when clocks go back. All other types keep their text.
     """
-    return df.agg(F.max(column).cast("string")).first()[0]
+    top = F.max(column)
+    if isinstance(df.schema[column].dataType, T.TimestampType):
+        top = F.unix_micros(top)
+    return df.agg(top.cast("string")).first()[0]
+
+
+def _limit(kind: T.DataType, last: str) -> Column:
+    """The cursor's text as a literal of the column's type."""
+    if isinstance(kind, T.TimestampType) and last.lstrip("-").isdigit():
+        return F.timestamp_micros(F.lit(int(last)))
+    return F.lit(last).cast(kind)
 
 
 def newer_than(df: DataFrame, column: str, last: str | None, lookback: str | None = None) -> DataFrame:
@@ -23,7 +35,7 @@ def newer_than(df: DataFrame, column: str, last: str | None, lookback: str | Non
     """
     if last is None:
         return df
-    limit = F.lit(last).cast(df.schema[column].dataType)
+    limit = _limit(df.schema[column].dataType, last)
     if lookback is None:
         return df.filter(F.col(column) > limit)
     return df.filter(F.col(column) >= (limit - F.expr(lookback)).cast(df.schema[column].dataType))
