@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +29,16 @@ def _counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
 
 
+def _seen(observed: Observation, df: DataFrame) -> int:
+    """The observed number of rows. The optimiser drops observations with parts of a plan that turn out to be empty: then df is counted."""
+    try:
+        return observed.get["n"]
+    except Py4JJavaError:
+        return df.count()
+
+
 def load_table(spark: SparkSession, spec: TableSpec, raw: DataFrame, path: str) -> LoadMetrics:
-    """Load one table. Counts are observed while the rows are written, without passes of their own.
+    """Load one table. Counts are observed while the rows are written, without passes of their own unless there are none.
 
     First, or in mode replace, the whole raw table is cleaned. Later the rows beyond the clean
     table's cursor are, and those that it has already are dropped.
@@ -43,17 +52,20 @@ def load_table(spark: SparkSession, spec: TableSpec, raw: DataFrame, path: str)
     if first:
         rows, n_rows = _counted(rows, "inserted")
         store.overwrite(rows, path, spec.fmt)
-        return LoadMetrics(spec.name, "full", last, n_read.get["n"], n_accepted.get["n"], n_rows.get["n"])
+        return LoadMetrics(spec.name, "full", last, _seen(n_read, new), _seen(n_accepted, clean(new, spec.rules)), _seen(n_rows, store.read(spark, path, spec.fmt)))
     old = store.read(spark, path, spec.fmt)
     if last is not None:  # rows of the clean table below the window cannot be among the new ones
         old = newer_than(old, spec.clean_cursor, last, spec.lookback)
-    rows = drop_existing(rows, old)
-    plain = drop_existing(exact_distinct(clean(new, spec.rules)), old)
-    if plain.isEmpty():
-        return LoadMetrics(spec.name, "unchanged", last, 0, 0, 0)
-    rows, n_rows = _counted(rows, "inserted")
-    store.append(rows, path, spec.fmt)
-    return LoadMetrics(spec.name, "appended", last, n_read.get["n"], n_accepted.get["n"], n_rows.get["n"])
+    rows, n_rows = _counted(drop_existing(rows, old), "inserted")
+    # computed once, beside the table; the clean table is not touched if there is nothing new
+    staging = store.scratch(spark, f"new-{spec.name}")
+    rows.write.parquet(staging)
+    staged = spark.read.schema(rows.schema).parquet(staging)
+    inserted = _seen(n_rows, staged)
+    if inserted:
+        store.append(staged, path, spec.fmt)
+    store.delete(spark, staging)
+    return LoadMetrics(spec.name, "appended" if inserted else "unchanged", last, _seen(n_read, new), _seen(n_accepted, clean(new, spec.rules)), inserted)
 
 
 def load_all(spark: SparkSession, specs: list[TableSpec], raw_root: str, clean_root: str) -> DataFrame:

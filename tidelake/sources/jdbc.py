@@ -35,6 +35,13 @@ class JdbcSource:
             return reader.load()
         return reader.options(partitionColumn=split_by, lowerBound=low, upperBound=high + 1, numPartitions=partitions).load()
 
-    def newer(self, spark: SparkSession, name: str, cursor: str, last: str | None) -> DataFrame:
-        """Rows beyond a cursor; the database gets the comparison."""
-        return newer_than(self.table(spark, name), cursor, last)
+    def newer(self, spark: SparkSession, name: str, cursor: str, last: str | None, split_by: str | None = None, partitions: int = 1) -> DataFrame:
+        """Rows beyond a cursor; the database gets the comparison. With split_by, the new rows are read in ranges of that column."""
+        if split_by is None or partitions < 2:
+            return newer_than(self.table(spark, name), cursor, last)
+        low, high = newer_than(self.reader(spark).option("dbtable", name).load(), cursor, last).agg(F.min(split_by), F.max(split_by)).first()
+        if low is None:
+            return newer_than(self.table(spark, name), cursor, last)
+        reader = self.reader(spark).option("dbtable", name).options(
+            partitionColumn=split_by, lowerBound=low, upperBound=high + 1, numPartitions=partitions)
+        return newer_than(reader.load(), cursor, last)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,7 +12,11 @@ from pyspark.sql import functions as F
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder; a temporary folder where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
@@ -26,10 +31,13 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def format_of(spark: SparkSession, path: str) -> str | None:
-    """delta, parquet, or None where there is no table."""
+    """delta, orc, parquet, or None where there is no table. An empty folder counts as parquet."""
     if not exists(spark, path):
         return None
-    return "delta" if exists(spark, f"{path}/_delta_log") else "parquet"
+    if exists(spark, f"{path}/_delta_log"):
+        return "delta"
+    fs, p = _fs(spark, path)
+    return "orc" if any(x.getPath().getName().endswith(".orc") for x in fs.listStatus(p)) else "parquet"
 
 
 def read(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -43,13 +51,16 @@ def _require(spark: SparkSession, path: str, fmt: str) -> None:
 
 
 def overwrite(df: DataFrame, path: str, fmt: str = "parquet", replace_schema: bool = True) -> None:
-    """Replace the table. With replace_schema false, another schema is an error."""
+    """Replace the table, in one move at the end: a run that fails leaves it as it was. With replace_schema false,
+    another schema is an error."""
     spark = df.sparkSession
     _require(spark, path, fmt)
     if not replace_schema and exists(spark, path):
         _same_schema(df, read(spark, path, fmt), path)
-    writer = df.write.format(fmt).mode("overwrite")
-    (writer.option("overwriteSchema", str(replace_schema).lower()) if fmt == "delta" else writer).save(path)
+    if fmt == "delta":
+        df.write.format(fmt).mode("overwrite").option("overwriteSchema", str(replace_schema).lower()).save(path)
+    else:
+        staged_overwrite(df, path, fmt)
 
 
 def _same_schema(df: DataFrame, old: DataFrame, path: str) -> None:
@@ -67,11 +78,24 @@ def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.format(fmt).mode("append").save(path)
 
 
-def staged_overwrite(df: DataFrame, path: str) -> None:
-    """Replace a Parquet table by rows that may be computed from it: write beside it, then swap."""
-    spark = df.sparkSession
-    staging, old = f"{path}.staging-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(staging)
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def staged_overwrite(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Replace a table by rows that may be computed from it: write beside it, then swap."""
+    staging = f"{path}.staging-{uuid.uuid4().hex}"
+    try:
+        df.write.format(fmt).save(staging)
+    except Exception:
+        delete(df.sparkSession, staging)
+        raise
+    _swap(df.sparkSession, staging, path)
+
+
+def _swap(spark: SparkSession, staging: str, path: str) -> None:
+    old = f"{path}.old-{uuid.uuid4().hex}"
     fs, p = _fs(spark, path)
     path_of = spark._jvm.org.apache.hadoop.fs.Path
     if fs.exists(p) and not fs.rename(p, path_of(old)):
@@ -84,15 +108,20 @@ def staged_overwrite(df: DataFrame, path: str) -> None:
 
 
 def convert(spark: SparkSession, source: str, target: str, from_fmt: str, to_fmt: str) -> int:
-    """Copy a table into another format and return its rows; a target that has the format is left alone."""
-    if format_of(spark, target) == to_fmt and source != target:
+    """Write a table in another format and return its rows; a target that has the format is left alone.
+
+    With target = source it is converted in place: written beside, counted, then swapped.
+    """
+    if format_of(spark, target) == to_fmt:
         return read(spark, target, to_fmt).count()
     _require(spark, source, from_fmt)
-    df = read(spark, source, from_fmt)
-    df.write.format(to_fmt).save(target)
-    before, after = df.count(), read(spark, target, to_fmt).count()
+    df, staging = read(spark, source, from_fmt), f"{target}.staging-{uuid.uuid4().hex}"
+    df.write.format(to_fmt).save(staging)
+    before, after = df.count(), read(spark, staging, to_fmt).count()
     if before != after:
-        raise RuntimeError(f"{source} has {before} rows, {target} has {after}")
+        delete(spark, staging)
+        raise RuntimeError(f"{source} has {before} rows, {target} would have {after}")
+    _swap(spark, staging, target)
     return after
 
 
