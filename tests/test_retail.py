@@ -31,6 +31,8 @@ def test_normal_forms(spark):
     assert [r[0] for r in df.select(NORMALISE["title"](F.col("x"))).collect()] == ["Coca-cola", "O'neil Mc  Donald", "Ángel Ñu", None]
     assert column(spark, [" \ta\t "]).select(NORMALISE["trim"](F.col("x"))).first()[0] == "\ta\t"
     assert column(spark, ["José Ñandú O'Neil"]).select(slug(F.col("x"))).first()[0] == "josenanduoneil"
+    odd = {"Ýåř \"x\"": 'yar"x"', "İstanbul ŠÁ": "istanbulsa", "e\u0301": "e", "ﬁn ½": "ﬁn½", "Ÿ": "y"}
+    assert {r.x: r.s for r in column(spark, list(odd)).select("x", slug(F.col("x")).alias("s")).collect()} == odd
     df = column(spark, [Decimal("0.125"), Decimal("0.135"), Decimal("2.345")], "decimal(10,3)")
     assert [r[0] for r in df.select(cents(F.col("x"))).collect()] == [Decimal("0.12"), Decimal("0.14"), Decimal("2.34")]
 
@@ -259,3 +261,41 @@ def test_jdbc(spark):
     assert sorted(r.ID for r in new.collect()) == [7, 8]
     assert "GreaterThan(TS" in new._jdf.queryExecution().executedPlan().toString()
     assert JdbcSource.postgres("h", 1, "d", "u", "p").url == "jdbc:postgresql://h:1/d"
+
+
+def test_cursor_where_clocks_go_back(spark):
+    """An hour that comes twice in the session's zone: nothing is loaded again, later rows are."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        seconds = [1730614000, 1730615400, 1730615400 + 1800, 1730619000]  # on both sides of 2024-11-03T06:00Z
+        df = spark.createDataFrame([(i, s) for i, s in enumerate(seconds)], "id int, s long").select("id", F.timestamp_seconds("s").alias("ts"))
+        for k in range(len(seconds)):
+            last = last_cursor(df.filter(F.col("id") <= k), "ts")
+            assert [r.id for r in newer_than(df, "ts", last).orderBy("id").collect()] == list(range(k + 1, len(seconds)))
+        assert newer_than(df, "ts", last_cursor(df, "ts"), "interval 1 hour").count() == 3
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_a_full_load_that_fails_leaves_the_table(spark, tmp_path):
+    path, spec = f"{tmp_path}/t", TableSpec("t", ("id",), "full_reload", ())
+    raw_layer.load_table(spark, spec, spark.range(5), path)
+    broken = spark.range(9).select(F.when(F.col("id") == 8, F.raise_error(F.lit("no"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="no"):
+        raw_layer.load_table(spark, spec, broken, path)
+    assert store.read(spark, path).count() == 5
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_conversion_in_place(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    spark.range(7).write.parquet(path)
+    assert [store.convert(spark, path, path, "parquet", "orc") for _ in range(2)] == [7, 7]
+    assert store.format_of(spark, path) == "orc" and store.read(spark, path, "orc").count() == 7
+
+
+def test_a_run_without_news_says_what_it_read(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id int, x string")
+    spec = TableSpec("t", ("id",), "incremental_id", (NotNull("x"),), cursor="id", clean_cursor="id", lookback="10")
+    runs = [clean_layer.load_table(spark, spec, df, f"{tmp_path}/t") for _ in range(2)]
+    assert [(r.mode, r.read, r.accepted, r.inserted) for r in runs] == [("full", 2, 1, 1), ("unchanged", 2, 1, 0)]
