@@ -11,9 +11,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import materialise
+from tidelake.llm.common import in_file_order, materialise
 from tidelake.llm import jaccard, lines, media, mixing, packing, quality, suffix, toxicity, urls, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, row string, size int"
@@ -210,40 +211,78 @@ def plain_repeats(pairs):
     return sorted(out, key=str)
 
 
-def test_repeats(spark):
-    pairs = corpus(seed=6, n=90) + [(6000, "ab" * 200), (6001, "x" + "ab" * 60), (6002, "é" * 80), (6003, "é" * 30)]
-    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.remove_repeats(frame(spark, pairs)).collect()), key=str)
+@pytest.mark.parametrize("params", [suffix.Params(), suffix.Params(hot_docs=3, block_bytes=3000, part_bytes=500)])
+def test_repeats(spark, params):
+    pairs = corpus(seed=6, n=90) + [(6000, "ab" * 200), (6001, "x" + "ab" * 60), (6002, "é" * 80), (6003, "é" * 30), (6004, "\0" * 70 + "x"), (6005, "\0" * 60)]
+    pairs += [(7000 + i, f"{i} before " * (i % 3) + "a passage that very many documents have in common, word for word" + f" after {i}" * 9) for i in range(30)]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.remove_repeats(frame(spark, pairs), params).collect()), key=str)
     assert got == plain_repeats(pairs)
-    assert suffix.remove_repeats(frame(spark, pairs).limit(0)).count() == 0
+    assert suffix.remove_repeats(frame(spark, pairs).limit(0), params).count() == 0
+
+
+def test_a_long_text_of_few_kinds_of_windows(spark):
+    pairs = [(1, "ab" * 100_000), (2, "z" * 300_000 + "q"), (3, "ab" * 30 + "z" * 60)]
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix.remove_repeats(frame(spark, pairs)).collect()]
+    assert sorted(got) == [(1, 200_000, 0, 0), (2, 300_001, 0, 0), (3, 120, 120, 1)]
 
 
 def test_a_block_sends_a_passage_once():
     r = random.Random(5)
-    passage = bytes(r.choices(b"abcdefgh ", k=150)).decode()
-    batch = pa.RecordBatch.from_pydict({"block": [7] * 200, "i": list(range(200)), "id": [*range(1, 200), None], "text": [passage] * 200})
-    _, _, runs, m = suffix._windows([passage.encode()])
-    rows = [*next(suffix.text_rows(iter([batch]))).to_pylist(), *suffix._table([(0, "R", 7, suffix.planes(np.unique(m)), b"", b"")]).to_pylist()]
-    table = pa.Table.from_pylist(rows, suffix.PACKED)
-    sent = suffix.stretches(1)(table)
-    assert sum(len(x) // 2 for x in sent["docs"].to_pylist()) == len(runs)  # 200 times that before
-    marks = suffix.mark_bucket(sent)
-    cut = suffix.cut_block(pa.concat_tables([table, marks])).to_pylist()
+    passage = bytes(r.choices(b"abcdefgh ", k=150))
+    sizes = np.full(200, 150, np.int64)
+    block = (7, "M", 7, zstandard.compress(passage * 200), suffix.small(sizes.astype(np.uint64)), suffix.small(np.array([*range(1, 200), suffix.NO_ID])))
+    first, count, m = suffix.window_runs(np.frombuffer(passage, np.uint8), np.array([150]))
+    anchor = (0, "R", 7, suffix.planes(np.unique(m)), bytes(len(m)), b"")
+    sent = suffix.stretches(1)(suffix.table_of([block, anchor]))
+    facts = [suffix.unsmall(c[8:], np.int64).reshape(3, -1) for _, _, _, c in suffix.rows_of(sent, "S")]
+    assert sum(f.shape[1] for f in facts) == len(first)  # 200 times that before
+    marks = suffix.mark_bucket(1 << 20)(sent)
+    cut = suffix.cut_block(pa.concat_tables([suffix.table_of([block]), marks])).to_pylist()
     assert [x["n_removed"] for x in cut] == [0] + [150] * 199
 
 
+def test_runs_cover_all_windows():
+    r = random.Random(4)
+    texts = [bytes(r.choices(b"abc", k=r.choice([0, 10, 49, 50, 51, 300, 2000]))) for _ in range(60)] + [b"x" * 500]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.array([len(t) for t in texts])
+    whole, suffix.RUN = suffix.RUN, 777
+    try:
+        first, count, m = suffix.window_runs(data, sizes)
+    finally:
+        suffix.RUN = whole
+    starts = np.cumsum(sizes) - sizes
+    want = [a + k for a, n in zip(starts.tolist(), sizes.tolist()) for k in range(n - 49)]
+    assert [a + k for a, n in zip(first.tolist(), count.tolist()) for k in range(n)] == want and count.max() <= suffix.LONGEST
+    least = suffix.minimizers(data)
+    number = {}
+    assert all((least[a:a + n] == least[a]).all() and number.setdefault(least[a], x) == x for a, n, x in zip(first, count, m))
+    assert len(set(number.values())) == len(number)
+
+
 def test_run_index():
     r = random.Random(3)
-    base = bytes(r.choices(b"abc", k=400))
-    strings = list(dict.fromkeys(base[a:a + n] for a, n in ((r.randrange(300), r.randint(50, 100)) for _ in range(60))))
+    base = bytes(r.choices(b"abc\0", k=400))
+    pick = lambda k: list(dict.fromkeys(base[a:a + n] for a, n in ((r.randrange(300), r.randint(50, 100)) for _ in range(k))))
+    strings, owners = pick(60), None
     owners = np.array([r.randrange(50) for _ in strings])
-    sizes = np.array([len(s) for s in strings], np.int64)
-    index = suffix.RunIndex(np.frombuffer(b"".join(strings), np.uint8), sizes, owners)
-    want = [min(o for t, o in zip(strings, owners) if s[p:p + 50] in t) for s in strings for p in range(len(s) - 49)]
-    assert index.stream().tolist() == want
+    sizes = lambda x: np.array([len(s) for s in x], np.int64)
+    index = suffix.RunIndex(np.frombuffer(b"".join(strings), np.uint8), sizes(strings), owners)
+    # strings of the index, others of the same source, changed ones, and bytes that the index does not have
+    queries = strings + pick(40) + [bytes(r.choice(b"abcd") if r.random() < 0.05 else c for c in s) for s in pick(60)] + [b"zzz" * 20]
+    lengths, found = index.stream(np.frombuffer(b"".join(queries), np.uint8), sizes(queries))
+    at = 0
+    for q in queries:
+        for p in range(len(q)):
+            longest = next(n for n in range(min(50, len(q) - p), -1, -1) if any(q[p:p + n] in s for s in strings))
+            assert lengths[at] == longest
+            assert found[at] == (min(o for s, o in zip(strings, owners) if q[p:p + 50] in s) if longest == 50 else suffix.NO_ID)
+            at += 1
     assert len(index.run) < index.rows / 2  # repetitive strings make few runs
-    text = b"\0".join(strings) + b"\0"
-    suffixes = sorted((text[p:text.index(b"\0", p)], p) for p in range(len(text)))
-    assert all(index.locate(k) == suffixes[k][1] for k in range(0, index.rows, 17))
+    text = b"\1".join(strings)  # the samples are the positions of the suffixes at the run ends
+    ends = np.cumsum(sizes(strings) + 1)
+    suffixes = sorted((text[p:ends[np.searchsorted(ends, p, "right")] - 1], p) for p in range(len(text) + 1))
+    assert index.head.tolist() == [suffixes[k][1] for k in index.run] and index.tail.tolist() == [suffixes[k + n - 1][1] for k, n in zip(index.run, index.size)]
 
 
 # ---- WARC
@@ -274,11 +313,31 @@ def test_warc(spark):
             assert result(got) == sorted(want, key=str)
         finally:
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r.url for r in warc.read_archives(spark, path).collect()} == {"http://a/%0D%0Ab", "http://b", "u", ""}
     path = warc.shared_path(spark, "empty")
     warc.write_archives(df.limit(0), path)
     assert warc.read_archives(spark, path).count() == 0
 
 
+def test_archives_are_split_otherwise_in_the_second_read(spark, monkeypatch):
+    inner = "WARC/1.1\r\nContent-Length: 9\r\n\r\n"
+    rows = [(i, "a\tb", "".join(f"{inner}{i} {k}" + "x" * (i * k % 300) for k in range(i % 6)) + "é" * 3000 * (i % 50 == 0)) for i in range(400)]
+    path = warc.shared_path(spark, "test")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path)
+    plain, sizes = warc.candidates, iter(["2000", "3001", "5000"])
+
+    def read(*args):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        return plain(*args)
+
+    monkeypatch.setattr(warc, "candidates", read)
+    try:
+        got = {r.page_id: r.payload_digest for r in warc.read_archives(spark, path).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {i: hashlib.sha1(h.encode()).hexdigest() for i, _, h in rows}
+
+
 # ---- media
 
 def test_media(spark):
@@ -445,9 +504,9 @@ def test_packing(spark):
 
     path = str(public.path("byte_bpe_50k.json"))
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     pairs = [(k, t) for k, (_, t) in enumerate(corpus())] + [
-        (500, "two  spaces"), (501, " lead"), (502, "trail "), (503, "a\n b\t c"), (504, "it's 12 don't"), (505, "naïve\u00a0 x\u2003y"), (506, "<|endoftext|> x"), (507, "Ġ Ġ x")]
+        (500, "two  spaces"), (501, " lead"), (502, "trail "), (503, "a\n b\t c"), (504, "it's 12 don't"), (505, "naïve\u00a0 x\u2003y"), (506, "<|endoftext|> x"), (507, "Ġ Ġ x"),
+        (508, "one, two., x²! (three) ... 'tis don't. 中文. end?!"), (509, "\n\na\n\nb\n"), (510, "a\nb c.\n<|endoftext|>"), (511, "It's.\nIt's, it's"), (512, "\x1c a\x1c b\x85c")]
     pieces = packing.pack(frame(spark, pairs), packing.Packing(tokenizer=path)).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for p in pieces:
@@ -467,7 +526,10 @@ def test_packing(spark):
     steps = Counter()
     for s in by_sequence.values():
         steps[s[0].step_id] += s[0].sequence_length
-    assert max(steps.values()) <= packing.Packing(path).step_tokens
+    size = packing.Packing(path).step_tokens
+    assert max(steps.values()) <= size
+    open_steps = Counter(s >> 33 for s, n in steps.items() if n < size)
+    assert max(open_steps.values()) <= 2  # groups that are not full, by task
 
 
 def test_token_cache_is_bounded():
@@ -479,6 +541,26 @@ def test_token_cache_is_bounded():
         assert tokens.batch(texts[i:i + 7]) == small.batch(texts[i:i + 7])
 
 
+def test_packing_query(spark, tmp_path):
+    """op9 over rows without ids and with repeated ones: all ids of all texts, each in one place."""
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from tidelake.llm import queries
+
+    plain = Tokenizer.from_file(str(public.path("byte_bpe_50k.json")))
+    pairs = corpus(n=30)
+    frame(spark, pairs).write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = queries.op9_packing(spark, str(tmp_path)).collect()
+    texts = defaultdict(list)
+    for i, t in pairs:
+        texts[i].append(plain.encode(t or "", add_special_tokens=False).ids + [1])
+    assert sum(p.length for p in pieces) == sum(len(t) for x in texts.values() for t in x)
+    assert sum(p.start == 0 for p in pieces) == len(pairs)
+    for p in pieces:
+        assert any(len(t) == p.doc_tokens and p.ids_crc32 == zlib.crc32(np.array(t[p.start:p.start + p.length], "<u4").tobytes()) for t in texts[p.doc_id])
+
+
 # ---- pipeline
 
 def test_pipeline_stages(spark, tmp_path):
@@ -501,3 +583,31 @@ def test_pipeline_stages(spark, tmp_path):
     assert sizes[:3] == [90, 90, 80] and 40 < sizes[3] <= 80 and sizes[4] == sizes[3]
     assert "Common line" not in "".join(x.text for x in spark.read.parquet(f"{tmp_path}/1").collect())
     assert pipeline.run(spark, str(tmp_path)).count() == docs.count()
+    # the curriculum's order: ranges of the mixed files are packed by tasks in turn
+    order = in_file_order(spark.read.parquet(f"{tmp_path}/3"), ["doc_id"]).collect()
+    place = {}
+    for k, x in enumerate(order):
+        place.setdefault(x.doc_id, k)
+    tasks = sorted((place[x.doc_id], x.sequence_id >> 33) for x in docs.collect() if [y.doc_id for y in order].count(x.doc_id) == 1)
+    assert [t for _, t in tasks] == sorted(t for _, t in tasks)
+
+
+def test_pipeline_stages_on_hard_tables(spark, tmp_path):
+    """No rows; no ids, repeated ids and rows, nulls, and a column named like an operator's own."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    pytest.importorskip("public_tokenizers")
+    r = random.Random(18)
+    text = lambda: " ".join(r.choices(WORDS, k=60))
+    t, u = text(), text()
+    rows = [(None, text(), "en", None, 1, 7) for _ in range(20)] + [(5, t, "en", "s", 1, 7), (5, t, "en", "s", 1, 7), (5, u, None, "s", 1, 7), (6, t, "en", "s", 1, 8)]
+    rows += [(9, None, None, None, None, None), (9, "", "en", "s", 0, 1), (8, " ".join(r.choices(WORDS, k=30_000)), "en", "s", 1, 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size int"
+    for k, data in enumerate(([], rows)):
+        docs = spark.createDataFrame(data, schema)
+        for j, (_, stage) in enumerate(pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            assert j == 4 or out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{k}-{j}")
+            docs = spark.read.parquet(f"{tmp_path}/{k}-{j}")
+        kept = spark.read.parquet(f"{tmp_path}/{k}-2").select("doc_id", "text").collect()
+        assert len(kept) == (0 if not data else 23) and Counter(x.doc_id for x in kept) == (Counter({None: 20, 5: 2, 8: 1}) if data else Counter())

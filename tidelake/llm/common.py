@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -22,12 +24,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir).
 
-    Where the setting is absent (tests), a temporary folder of this machine serves.
+    Where the setting is absent, a temporary folder of this machine serves in local mode (tests); on
+    a cluster its executors would each write to a disk of their own, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = known.get() if known.isDefined() else f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        if known.isDefined():
+            root = known.get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
@@ -76,6 +84,18 @@ def buckets_for(df: DataFrame, bytes_each: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // bytes_each)
 
 
+def in_file_order(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of a table's rows in the order of its files' names and of the rows in them, dealt out by ranges.
+
+    Spark's own read packs files by size. Rows that do not come from files stay as they are.
+    """
+    rows = df.select(*columns)
+    if not df.inputFiles():
+        return rows
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    return df.select(*columns, *place).repartitionByRange("_file", "_row").sortWithinPartitions("_file", "_row").select(*columns)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of tables that are written and no longer referred to.
 
@@ -83,6 +103,7 @@ def release(spark: SparkSession) -> None:
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)  # the cleaner works beside the driver
 
 
 def text_or_empty(column: Column | str) -> Column:

@@ -53,8 +53,7 @@ def to_wav(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The strongest bin of every frame of the short-time Fourier transform, and whether it stands out."""
     x = samples.astype(np.float32) - 128.0
-    if len(x) < FRAME:
-        x = np.concatenate([x, np.zeros(FRAME - len(x), np.float32)])
+    x = np.concatenate([x, np.zeros(FRAME - len(x) if len(x) < FRAME else (FRAME - len(x)) % HOP, np.float32)])  # the last frame whole
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     window = np.hanning(FRAME).astype(np.float32)
     best, clear = [], []
@@ -88,5 +87,5 @@ def from_wav(media: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             with wave.open(io.BytesIO(data), "rb") as w:
                 payload = w.readframes(w.getnframes())
             times, codes = fingerprint(np.frombuffer(payload, np.uint8))
-            rows.append((payload, max(1, (len(payload) - FRAME) // HOP + 1), times, codes))
+            rows.append((payload, max(1, -((FRAME - len(payload)) // HOP) + 1), times, codes))
         yield pd.DataFrame(rows, columns=["payload", "frames", "times", "codes"])

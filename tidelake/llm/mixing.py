@@ -7,8 +7,9 @@ of that demand, which gives the time at which training reaches it. Sorting by th
 order of training.
 
 Everything is DataFrame expressions. The running sums over a source are made in two steps, over
-4096 hash ranges and within each, so that no source is in one task. Nulls: a null text has no
-words; null sources form one source, last in order; a null doc_id hashes like an empty one.
+4096 ranges of a hash over doc_id and text and within each, so that no source is in one task, nor
+are rows without ids or with one id. Nulls: a null text has no words; null sources form one source,
+last in order; a null doc_id hashes like an empty one. Texts count whole, whatever their length.
 Repeated rows are documents of their own and may change places with each other. A document without
 words is never taken. An empty table gives an empty result.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE_CHARS, packed, text_or_empty, words
+from .common import materialise, packed, text_or_empty, words
 
 #: Knots (time, relative weight) for the sources of weight 1, 2, 3: early, even, late.
 SCHEDULES: tuple[tuple[tuple[float, float], ...], ...] = (
@@ -100,8 +101,10 @@ def assign_positions(docs: DataFrame, mix: Mix = Mix(), carry: list[str] | None
     base = (packed(docs)
             .select(F.struct(*kept).alias("row"), F.col("row.source").isNull().alias("sn"),
                     F.coalesce("row.source", F.lit("")).alias("sk"), F.size(words(text)).cast("long").alias("size"),
-                    F.md5(F.concat_ws("|", F.lit("mix"), doc)).alias("hash"), F.xxhash64(text).alias("tie"))
+                    F.md5(F.concat_ws("|", F.lit("mix"), doc, text)).alias("hash"))
             .withColumn("part", F.substring("hash", 1, 3)))
+    if "text" not in (docs.columns if carry is None else carry):  # narrow rows: words are counted once
+        base = materialise(base, "mix-sizes")
     sums = base.groupBy("sn", "sk", "part").agg(F.sum("size").alias("part_size"))
     before = Window.partitionBy("sn", "sk").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("offset", F.coalesce(F.sum("part_size").over(before), F.lit(0)))
@@ -112,7 +115,7 @@ def assign_positions(docs: DataFrame, mix: Mix = Mix(), carry: list[str] | None
                        "source_size", "kind", "target"))
     plan = sums.select("sn", "sk", "part", "offset").join(targets, ["sn", "sk"])
     placed = base.join(plan, ["sn", "sk", "part"])
-    within = (Window.partitionBy("sn", "sk", "part").orderBy("hash", "tie")
+    within = (Window.partitionBy("sn", "sk", "part").orderBy("hash")
               .rowsBetween(Window.unboundedPreceding, -1))
     start = F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0))
     placed = placed.withColumn("middle", start + F.col("size") / F.lit(2.0))

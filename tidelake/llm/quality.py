@@ -4,7 +4,8 @@ Fixed rules reject what is short or repeats itself. The other limits come from q
 for each language and source. The sketch is a log-linear histogram: a value in thousandths falls
 into a bin whose width is at most 1/32 of the value, and a bin's count is a plain sum, so sketches
 of parts, of sources and of languages merge by addition, in any order, with the same result.
-Small groups take the sketch of their language, and small languages that of all rows.
+Small groups take the sketch of their language, and small languages that of all rows. Repeated words
+have the fixed rule alone: it rejects all that a fence so far outside the quartiles would.
 
 Everything is DataFrame expressions. Nulls: a null text has no words and fails the fixed rules;
 a null language or source is a group like any other. Repeated rows count and are judged each.
@@ -51,7 +52,6 @@ class Rules:
         "word_len": Measure("word_chars", "n_words", 300, both=True),
         "symbols": Measure("n_symbols", "n_words", 60),
         "dup_lines": Measure("n_dup_lines", "n_lines", 100),
-        "repeats": Measure("n_repeat_words", "n_words", 50),
     })
 
 

@@ -22,15 +22,16 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    stored = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
-                         media.to_wav("text").alias("media"))
+    stored = materialise(docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+                                     media.to_wav("text").alias("media")), "media")
     read = stored.select("*", media.from_wav("media").alias("m"))
     size = F.octet_length("m.payload")
     return read.select(
         "doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("m.payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("m.payload", -media.BLOCK, media.BLOCK)).cast("long").alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws(":", "m.frames", F.size("m.codes"), F.lower(F.hex(F.xxhash64("m.times", "m.codes")))).alias("feature"))
+        F.concat_ws(":", "m.frames", F.size("m.codes"), F.lower(F.hex(F.xxhash64("m.times", "m.codes")))).alias("feature"),
+        "m.times", "m.codes")
 
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +139,7 @@ v AS (SELECT *, (CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0) AS
       FROM c WINDOW b AS (ORDER BY CAST(cap AS DOUBLE) / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 lv AS (SELECT arg_max(level, open) AS level FROM v WHERE level * weight <= cap),
 t AS (SELECT source, source_size, kind, least(CAST(cap AS DOUBLE), coalesce(lv.level * weight, 0e0)) AS target FROM c, lv),
-o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(concat_ws('|', 'mix', coalesce(CAST(doc_id AS VARCHAR), '')))
+o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(concat_ws('|', 'mix', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(text, '')))
                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2e0 AS middle FROM d),
 m AS (SELECT o.*, source_size, kind, target,
              list_filter([0, 1, 2], lambda i: size > 0 AND i * source_size + middle <= target) AS passes
@@ -146,7 +147,7 @@ m AS (SELECT o.*, source_size, kind, target,
 """
 
 _OP4 = f"""
-WITH d AS (SELECT doc_id, source, CAST(len({WORDS_SQL}) AS BIGINT) AS size FROM documents), {MIX_CTES}
+WITH d AS (SELECT doc_id, source, text, CAST(len({WORDS_SQL}) AS BIGINT) AS size FROM documents), {MIX_CTES}
 SELECT doc_id, source, size, source_size, target, CAST(len(passes) * size AS BIGINT) AS taken,
        CASE WHEN len(passes) > 0 THEN CASE kind {" ".join(f"WHEN {k} THEN {_inverse_sql(k, '(middle / target)')}" for k in range(3))} END END AS position
 FROM m

@@ -31,6 +31,11 @@ class Params:
     max_rows: int = 4000
     max_features: int = 2000
     min_docs: int = 3
+    #: Log odds ratio over its standard error: at least this for a feature, and for a word that grades are counted by.
+    min_z: float = 3.0
+    grade_z: float = 5.0
+    #: Words that grades are counted by, at most.
+    grade_words: int = 200
     l2: float = 0.02
     iterations: int = 300
     rate: float = 0.1
@@ -75,7 +80,7 @@ def fit(labelled: DataFrame, params: Params = Params()) -> Model:
     if len(set(grade.tolist())) < 2:
         return Model({}, ())
     sets = [features(r["text"]) for r in rows]
-    chosen = [(z, w) for z, w in telling(sets, grade > 0, params) if abs(z) > 3]
+    chosen = [(z, w) for z, w in telling(sets, grade > 0, params) if abs(z) > params.min_z]
     index = {w: j for j, (_, w) in enumerate(chosen)}
     at = [(i, index[w]) for i, s in enumerate(sets) for w in s if w in index]
     doc, word = (np.array(x, int) for x in zip(*at)) if at else (np.empty(0, int), np.empty(0, int))
@@ -132,7 +137,7 @@ def graded(docs: DataFrame, params: Params = Params(), cuts: tuple[int, ...] = (
     """
     rows = bounded(docs.select("text", F.col("toxic").alias("grade")), params)
     toxic = np.array([r["grade"] for r in rows], int) > 0
-    terms = [w.decode() for z, w in telling([features(r["text"]) for r in rows], toxic, params) if z > 5][:200]
+    terms = [w.decode() for z, w in telling([features(r["text"]) for r in rows], toxic, params) if z > params.grade_z][:params.grade_words]
     found = F.size(F.array_intersect(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"), F.array(*map(F.lit, terms)).cast("array<string>")))
     level = F.lit(1)
     for c in cuts:

@@ -1,7 +1,7 @@
 """URL filter: host and path rules first, then logistic regression on hashed character n-grams.
 
 Training and scoring are DataFrame expressions. The gradient is a sum by feature in fixed point
-(1e-9), so that it does not depend on the order of rows; only the gradient, of as many numbers as
+(1e-12), so that it does not depend on the order of rows; only the gradient, of as many numbers as
 the model has features, reaches the driver in an iteration.
 
 Nulls: a null url, or one without "://", has an empty host and path; no rule fits it and the model

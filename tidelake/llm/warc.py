@@ -8,12 +8,15 @@ Reading: files are split at the version line, in parallel and within files, so t
 line starts a candidate, also one inside a payload. A candidate knows its offset (a running sum of
 lengths) and from its Content-Length the offset of its successor. Pointer jumping from the start
 of each file, which doubles the reach in every round, keeps what the chain of records reaches; all
-else is payload, and is put back into the record that it belongs to.
+else is payload, and is put back into the record that it belongs to. Pieces of such a payload are
+read a second time and found by their content, so nothing depends on how a read splits the files,
+which may differ when executors come and go.
 
 Nulls: a null html is an empty payload, a null url an empty target, a null page_id an empty id,
 which is never another's response unless no equal payload has an id. Rows that repeat page_id and
-payload are responses alike. Line ends and control characters in a url are percent-coded. An empty
-table gives an archive without records. Extra columns are not archived.
+payload are responses alike. Control characters in a url are percent-coded. A payload of any length
+is one record, which a task holds whole. An empty table gives an archive without records. Extra
+columns are not archived, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, shared_path
+from .common import key128, materialise, shared_path
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -41,7 +44,10 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 1000) -> None
     df = (pages.select("page_id", "url", payload.alias("payload"), digest.alias("digest"), size.alias("size"))
           .join(groups, ["digest", "size"], "left"))
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    url = F.regexp_replace(F.coalesce("url", F.lit("")), "[\\x00-\\x1F\\x7F]", "%0A")
+    url = F.coalesce("url", F.lit(""))
+    control = "[\\x00-\\x1F\\x7F]"
+    url = F.when(url.rlike(control), F.array_join(F.transform(
+        F.split(url, ""), lambda c: F.when(c.rlike(control), F.concat(F.lit("%"), F.lpad(F.hex(c), 2, "0"))).otherwise(c)), "")).otherwise(url)
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     head = [F.lit(f"{MAGIC}WARC-Type: "), F.when(again, "revisit").otherwise("response"),
             F.lit("\r\nWARC-Record-ID: "), name(F.col("page_id")),
@@ -56,12 +62,12 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 1000) -> None
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """file, block, k, length, head, value: what follows each version line up to the next, in order of k.
+    """file (a hash of its path), block, k, length, head, value: what follows each version line up to the next, in order of k.
 
     head is null where no header ends.
     """
     raw = (spark.read.option("lineSep", MAGIC).text(path)
-           .select("value", F.col("_metadata.file_path").alias("file"),
+           .select("value", F.xxhash64("_metadata.file_path").alias("file"),
                    F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k")))
     cut = F.locate(END, F.col("value"))
     return raw.select("file", "block", "k", F.octet_length("value").cast("long").alias("length"),
@@ -115,14 +121,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     # what lies in one piece is digested where it is read; payloads are moved only when a version line cut them
     body = F.substring(F.col("value").cast("binary"), head_bytes.cast("int") + 1, content.cast("int"))
     whole = F.col("length") - head_bytes >= content
-    facts = _offsets(parts.select(
+    v1, v2 = key128(F.col("value"))
+    parts = materialise(parts.select(
         "file", "block", "k", "length",
         _field("WARC-Type").alias("record_type"), _field("WARC-Record-ID").alias("id"),
         _field("WARC-Refers-To").alias("refers"), _field("WARC-Target-URI").alias("url"),
         _field("WARC-Payload-Digest").alias("declared_digest"),
         head_bytes.alias("head_bytes"), content.alias("content"),
-        F.when(whole, F.sha1(body)).alias("digest")))
-    facts = materialise(facts.filter("at >= 0"), "warc-candidates")
+        F.when(whole, F.sha1(body)).alias("digest"), v1.alias("v1"), v2.alias("v2")), "warc-parts")
+    facts = materialise(_offsets(parts).filter("at >= 0"), "warc-candidates")
     step = F.col("at") + len(MAGIC) + F.col("head_bytes") + F.col("content") + len(END)
     links = facts.filter("content is not null").select("file", "at", step.alias("next"))
     seen = reachable(links)
@@ -153,13 +160,15 @@ def _mended(spark: SparkSession, path: str, facts: DataFrame, seen: DataFrame, c
     starts = cut.select("file", "at", F.col("at").alias("start"), "head_bytes", "content")
     true = seen.select("file", "at", F.lit(True).alias("true"))
     upto = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    owned = (facts.select("file", "block", "k", "at").join(true, ["file", "at"], "left")
+    owned = (facts.select("file", "at", "length", "v1", "v2").join(true, ["file", "at"], "left")
              .withColumn("start", F.last(F.when(F.col("true"), F.col("at")), ignorenulls=True).over(upto)))
     pieces = materialise(owned.drop("true").join(starts.drop("at"), ["file", "start"]), "warc-pieces")
-    got = candidates(spark, path).select("file", "block", "k", "value").join(pieces, ["file", "block", "k"])
-    joined = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("at", F.col("value").cast("binary").alias("v")))), F.lit(b"").cast("binary"),
-        lambda a, x: F.concat(a, F.lit(MAGIC.encode()), x.v))
-    whole = got.groupBy("file", F.col("start").alias("at"), "head_bytes", "content").agg(joined.alias("all"))
-    start = (F.col("head_bytes") + len(MAGIC) + 1).cast("int")
-    return whole.select("file", "at", F.sha1(F.substring("all", start, F.col("content").cast("int"))).alias("mended"))
+    content = ["length", "v1", "v2"]
+    v1, v2 = key128(F.col("value"))
+    values = candidates(spark, path).select("length", v1.alias("v1"), v2.alias("v2"), "value").join(
+        pieces.select(*content).distinct(), content, "left_semi").groupBy(*content).agg(F.first("value").alias("value"))
+    got = pieces.join(values, content)
+    pieces_of = F.array_sort(F.collect_list(F.struct("at", "value")))
+    joined = F.array_join(F.transform(pieces_of, lambda x: x.value), MAGIC)
+    whole = got.groupBy("file", F.col("start").alias("at"), "head_bytes", "content").agg(joined.cast("binary").alias("all"))
+    return whole.select("file", "at", F.sha1(F.substring("all", (F.col("head_bytes") + 1).cast("int"), F.col("content").cast("int"))).alias("mended"))
