@@ -63,7 +63,7 @@ class Params:
     #: In a round a class is compared with the pivots that it shares most tokens with, so many at most; the rest stay open.
     pivots: int = 4
     #: Open pairs are enumerated when there are at most so many for each posting (a pair counts for each token that it shares).
-    open_per_token: float = 4.0
+    open_per_token: float = 64.0
 
 
 class Words(dict):

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE_CHARS, key128, materialise, packed, text_or_empty, words
+from .common import SPACE_CHARS, materialise, packed, text_or_empty, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -177,15 +177,10 @@ def judge(measured: DataFrame, limits: DataFrame, rules: Rules = Rules()) -> Dat
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents that pass, with their columns as they were.
 
-    Texts are measured once. The verdict depends on text, language and source alone, so the rejected
-    ones come back as keys of these, and repeated rows or ids do no harm.
+    Texts are measured once and stored with their measures, so no text is shuffled; the limits, one row
+    for each language and source, are stored too, so that the planner knows their size and broadcasts
+    them if they are small.
     """
-    k1, k2 = key128(text_or_empty("row.text"))
-    keyed = measure(docs, rules).select(F.struct(k1.alias("k1"), k2.alias("k2")).alias("row"), "lang", "source", *COUNTS, "base_failed")
-    measured = materialise(keyed, "quality")
-    bad = judge(measured, thresholds(sketch(measured, rules), rules), rules).filter("not kept")
-    bad = materialise(bad.select("row.*", F.col("lang").alias("bad_lang"), F.col("source").alias("bad_source")).distinct(), "rejected")
-    rows = packed(docs).select("row", k1.alias("k1"), k2.alias("k2"))
-    same = ((rows["k1"] == bad["k1"]) & (rows["k2"] == bad["k2"]) & F.col("row.lang").eqNullSafe(F.col("bad_lang"))
-            & F.col("row.source").eqNullSafe(F.col("bad_source")))
-    return rows.join(bad, same, "left_anti").select("row.*")
+    measured = materialise(measure(docs, rules), "quality")
+    limits = materialise(thresholds(sketch(measured, rules), rules), "quality-limits")
+    return judge(measured, limits, rules).filter("kept").select("row.*")
