@@ -404,7 +404,9 @@ def linked_classes(rows: DataFrame, params: Params = Params()) -> DataFrame:
         drop_tables(links, *[pairs] * last)
         if last:
             break
-        open_ = now.drop("label", "c", "pivot").join(labels, "id")
+        # a class's label is looked up once, not for each of its postings, of which it has no more than prefix tokens
+        packed = now.groupBy("id").agg(F.min("n").alias("n"), F.collect_list(F.struct("token", "most")).alias("postings"))
+        open_ = packed.join(labels, "id").select("id", "n", "label", F.inline("postings"))
     found = materialise(classes.select("id", "key").join(labels, "id").select("key", "label"), "class-labels")
     drop_tables(now, classes, labels)
     return found
