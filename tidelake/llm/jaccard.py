@@ -70,7 +70,7 @@ class Words(dict):
     """Word hashes, kept for the words that come back."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 600_000:
+        if len(self) > 250_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
