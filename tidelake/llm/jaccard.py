@@ -367,7 +367,7 @@ def linked_classes(rows: DataFrame, params: Params = Params()) -> DataFrame:
              .select("id", "n", "token", most.alias("most"), F.col("id").alias("label")))
     labels = materialise(classes.select("id", F.col("id").alias("label")), "labels")
     release(spark)
-    n_open, moved, now_before = None, True, None
+    n_open, moved = None, True
     for turn in range(params.max_rounds + 1):
         # at first the class that allows the largest partners, next to which the others have changed most; then any
         score = F.col("most") - F.col("n") if turn == 0 else F.lit(0)
@@ -377,9 +377,8 @@ def linked_classes(rows: DataFrame, params: Params = Params()) -> DataFrame:
             (F.min("label") < F.max("label")).alias("open")).filter("open and c > 1").drop("open")
         now = (open_.join(lists, "token").filter("most >= least_n and n <= largest")
                .select("token", "id", "n", "most", "label", "c", "pivot"))
-        spent, now = now_before, materialise(now, "open-lists")
-        drop_tables(spent)
-        now_before = now
+        now = materialise(now, "open-lists")
+        drop_tables(open_)
         facts = now.agg(F.count("*").alias("postings"), F.sum(F.when(F.col("label") != F.col("pivot.label"), F.col("c"))).alias("pairs")).first()
         if not facts["pairs"]:
             break
@@ -404,9 +403,9 @@ def linked_classes(rows: DataFrame, params: Params = Params()) -> DataFrame:
         drop_tables(links, *[pairs] * last)
         if last:
             break
-        # a class's label is looked up once, not for each of its postings, of which it has no more than prefix tokens
-        packed = now.groupBy("id").agg(F.min("n").alias("n"), F.collect_list(F.struct("token", "most")).alias("postings"))
-        open_ = packed.join(labels, "id").select("id", "n", "label", F.inline("postings"))
+        # written, as the lists and their postings are both made of it
+        open_ = materialise(now.drop("label", "c", "pivot").join(labels, "id"), "open-postings")
+        drop_tables(now)
     found = materialise(classes.select("id", "key").join(labels, "id").select("key", "label"), "class-labels")
     drop_tables(now, classes, labels)
     return found
