@@ -363,6 +363,42 @@ def test_fingerprint_finds_a_tone():
     assert (np.diff(times) >= 0).all() and set(codes.tolist()) == {(32 * 129 + 32) * 4 + d for d in (1, 2, 3)}
 
 
+def test_peaks_against_a_plain_transform():
+    k, n = np.arange(media.FRAME // 2 + 1)[:, None], np.arange(media.FRAME)[None, :]
+    turn = np.exp(-2j * np.pi * k * n / media.FRAME)
+    for text in ["x" * 64, "word " * 77, *(t for _, t in corpus(n=12) if t)]:
+        data = media.pad(text.encode())
+        best, clear = media.peaks(np.frombuffer(data, np.uint8))
+        x = np.frombuffer(data, np.uint8).astype(float) - 128
+        starts = range(0, max(1, len(x) - media.FRAME + media.HOP), media.HOP)
+        assert len(best) == len(starts) and starts[-1] + media.FRAME >= len(x)
+        for i, a in enumerate(starts):
+            frame_ = np.concatenate([x[a:a + media.FRAME], np.zeros(max(0, a + media.FRAME - len(x)))])
+            power = np.abs(turn @ (frame_ * np.hanning(media.FRAME)))
+            top, mean = power[2:].max(), power[2:].mean()
+            assert power[best[i]] >= top - 1e-2  # the transform is in single precision
+            assert clear[i] == (top > 2 * mean) or abs(top - 2 * mean) < 1e-2
+
+
+def test_media_query(spark, tmp_path):
+    """All columns of op2 over nulls, empty and repeated rows, and columns named like its own."""
+    from tidelake.llm import queries
+
+    pairs = [*corpus(n=20), (1, "x" * 64), (2, "y" * 65), (3, "z" * 640)]
+    frame(spark, pairs).withColumn("media", F.lit("other")).write.parquet(f"{tmp_path}/documents.parquet")
+    columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+    want = []
+    for i, t in pairs:
+        b = (t or "").encode()
+        payload = b + bytes(-len(b) % 64 if b else 64)
+        want.append((i, len(b), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])))
+    rows = queries.op2_media(spark, str(tmp_path)).collect()
+    assert sorted((tuple(r[c] for c in columns) for r in rows), key=str) == sorted(want, key=str)
+    shapes = {r.payload_sha256: (r.media_bytes, r.media_sha256, r.feature, r.times, r.codes) for r in rows}
+    assert all(shapes[r.payload_sha256] == (r.media_bytes, r.media_sha256, r.feature, r.times, r.codes) for r in rows)
+    assert all(r.media_bytes == r.payload_bytes + 44 for r in rows) and len({r.media_sha256 for r in rows}) == len(shapes)
+
+
 # ---- URLs
 
 def test_url_parts_and_rules(spark):
@@ -496,6 +532,37 @@ def test_grades(spark):
     assert {x.grade for x in df.collect()} >= {0, 2} and all((x.grade > 0) == any(w in x.text for w in words) for x in df.collect())
 
 
+def test_toxicity_query(spark, tmp_path, monkeypatch):
+    """op5 against plain scores of the model that it fits, over nulls, repeated rows and columns named like its own."""
+    from tidelake.llm import queries
+
+    r = random.Random(6)
+    bad = ["ugly", "vile", "nasty", "foul"]
+    texts = [" ".join(r.sample(WORDS, 25) + bad[:1 + i % 4] * (i % 2)) for i in range(240)]
+    docs = [(i, t, "grade", 1) for i, t in enumerate(texts)] + [(None, None, "", 0), (500, "", "", 0), (None, texts[3], "", 0), (3, texts[3], "", 0), (501, "Foul! VILE " * 9000, "", 0)]
+    labels = [(i, i % 2) for i in range(200)] + [(200, None), (None, 1), (3, 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, grade string, toxic int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    models, plain = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *a: models.append(plain(*a)) or models[-1])
+    got = [(r.doc_id, r.expected_severity, r.grade, r.toxic) for r in queries.op5_toxicity(spark, str(tmp_path)).collect()]
+    model, want = models[0], []
+    for i, t, *_ in docs:
+        words = {w.strip(toxicity.EDGES.decode()) for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())}
+        x = sum(model.weights.get(w.encode(), 0.0) for w in words)
+        want.append((i, sum(1 / (1 + np.exp(c - x)) for c in model.thresholds)))
+    order = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert len(got) == len(want) and model.weights
+    for g, (i, s) in zip(sorted(got, key=order), sorted(want, key=order)):
+        assert g[0] == i and g[1] == pytest.approx(s, abs=2e-6) and g[2:] == (round(s), s >= 0.5)
+    toxic = {g[0]: g[3] for g in got}
+    assert all(toxic[i] == bool(i % 2) for i in range(200, 240)) and toxic[501] and not toxic[500]
+    empty = tmp_path / "empty"
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{empty}/labels.parquet")
+    assert queries.op5_toxicity(spark, str(empty)).count() == 0
+
+
 # ---- packing
 
 def test_packing(spark):
