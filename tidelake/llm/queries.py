@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, lines, media, mixing, packing, quality, suffix, toxicity, url_labels, urls, warc
+from . import jaccard, lines, media, mixing, packing, passages, quality, suffix, toxicity, url_labels, urls, warc
 from .common import materialise, shared_path
 
 
@@ -96,7 +96,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_media, op3_urls, op4_mixing, op5_toxicity, op6_lines, op7_jaccard, op8_suffix, op9_packing, op10_quality)}
+def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passages.remove_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_media, op3_urls, op4_mixing, op5_toxicity, op6_lines, op7_jaccard, op8_suffix, op9_packing, op10_quality,
+                                   op13_passages)}
 
 
 def _number(x: float) -> str:
@@ -248,9 +254,21 @@ SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGIN
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id
 """
 
+_OP13 = f"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+x AS (SELECT doc_id, p, array_to_string(list_slice(w, p, p + 49), ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS p FROM d WHERE len(w) >= 50)),
+f AS (SELECT g, min(doc_id) AS first FROM x GROUP BY 1),
+h AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + 49)) AS p FROM x JOIN f ON x.g = f.g WHERE first < doc_id),
+k AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.p) FILTER (h.p IS NULL) AS kept, count(h.p) AS n_removed
+      FROM (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM d) u LEFT JOIN h ON h.doc_id = u.doc_id AND h.p = u.p GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
 _OP10 = f"""
 WITH d AS (SELECT doc_id, lang, source, text FROM documents), {quality_ctes()}
 SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, kept FROM q
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": _OP1, "op4_mixing": _OP4, "op6_lines": _OP6, "op7_jaccard": _OP7, "op8_suffix": _OP8, "op10_quality": _OP10}
+ORACLE_SQL: dict[str, str] = {"op1_warc": _OP1, "op4_mixing": _OP4, "op6_lines": _OP6, "op7_jaccard": _OP7, "op8_suffix": _OP8, "op10_quality": _OP10,
+                              "op13_passages": _OP13}

@@ -105,16 +105,16 @@ def minimizers(data: np.ndarray) -> np.ndarray:
     return np.minimum(m[:len(m) - rest], m[rest:]) if rest else m
 
 
-def window_runs(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_runs(data: np.ndarray, sizes: np.ndarray, least: Callable = minimizers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The runs of windows of one minimizer inside one document: first window, number of windows (LONGEST at most), and a
     number for the minimizer that is spread evenly, as least hashes are not.
 
-    data: documents of the given sizes, one after the other.
+    data: documents of the given sizes, one after the other; least gives the minimizer of each window of SPAN symbols.
     """
     ends = np.cumsum(sizes)
     bad_from, found = np.maximum(ends - sizes, ends - SPAN + 1), []
     for a in range(0, len(data) - SPAN + 1, RUN):
-        m = minimizers(data[a:a + RUN + SPAN - 1])
+        m = least(data[a:a + RUN + SPAN - 1])
         n = len(m)
         k = slice(*np.searchsorted(ends, [a, a + n + SPAN], "right"))  # documents that end here
         change = np.zeros(n + 1, np.int32)
@@ -203,14 +203,14 @@ def cut_at(sorted_: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
-def anchor_rows(buckets: int) -> Callable:
+def anchor_rows(buckets: int, symbols: Callable = opened, least: Callable = minimizers) -> Callable:
     """Each block's distinct minimizers with the number of documents that have them (T), by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in rows_of(pa.Table.from_batches([batch]), "M"):
-                data, sizes, _ = opened(row)
-                first, _, m = window_runs(data, sizes)
+                data, sizes, _ = symbols(row)
+                first, _, m = window_runs(data, sizes, least)
                 doc = np.searchsorted(np.cumsum(sizes), first, "right")
                 order = np.lexsort((doc, m))
                 m, doc = m[order], doc[order]
