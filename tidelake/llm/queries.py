@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, lines, media, mixing, packing, passages, quality, suffix, toxicity, url_labels, urls, warc
+from . import jaccard, lines, media, mixing, negatives, packing, passages, quality, suffix, toxicity, url_labels, urls, warc
 from .common import materialise, shared_path
 
 
@@ -96,13 +96,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), label.alias("label"), "embedding", F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)).alias("is_anchor"))
+    return negatives.hard_negatives(vectors)
+
+
 def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = passages.remove_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_media, op3_urls, op4_mixing, op5_toxicity, op6_lines, op7_jaccard, op8_suffix, op9_packing, op10_quality,
-                                   op13_passages)}
+                                   op12_negatives, op13_passages)}
 
 
 def _number(x: float) -> str:
@@ -254,6 +261,20 @@ SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGIN
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id
 """
 
+_OP12 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+             CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same) WHERE place <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
 _OP13 = f"""
 WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
 x AS (SELECT doc_id, p, array_to_string(list_slice(w, p, p + 49), ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS p FROM d WHERE len(w) >= 50)),
@@ -271,4 +292,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_wo
 """
 
 ORACLE_SQL: dict[str, str] = {"op1_warc": _OP1, "op4_mixing": _OP4, "op6_lines": _OP6, "op7_jaccard": _OP7, "op8_suffix": _OP8, "op10_quality": _OP10,
-                              "op13_passages": _OP13}
+                              "op12_negatives": _OP12, "op13_passages": _OP13}
