@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, lines, media, mixing, negatives, packing, passages, quality, suffix, toxicity, url_labels, urls, warc
+from . import collocations, jaccard, lines, media, mixing, negatives, packing, passages, quality, suffix, toxicity, url_labels, urls, warc
 from .common import materialise, shared_path
 
 
@@ -96,6 +96,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.best_phrases(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = table(spark, sf_dir, "embeddings").select(
@@ -109,7 +113,7 @@ def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_media, op3_urls, op4_mixing, op5_toxicity, op6_lines, op7_jaccard, op8_suffix, op9_packing, op10_quality,
-                                   op12_negatives, op13_passages)}
+                                   op11_collocations, op12_negatives, op13_passages)}
 
 
 def _number(x: float) -> str:
@@ -261,6 +265,29 @@ SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGIN
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id
 """
 
+_OP11 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM (
+        SELECT lang, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase FROM (
+          SELECT lang, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM (SELECT lang, w, unnest([1, 2, 3, 4]) AS size FROM w)))
+      GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS s FROM f WHERE size >= 2),
+u AS (SELECT lang, phrase, a, k, array_to_string(s[:k], ' ') AS head, array_to_string(s[k + 1:], ' ') AS tail FROM (
+        SELECT *, unnest(generate_series(1, size - 1)) AS k FROM c)),
+x AS (SELECT u.*, l.f AS l, r.f AS r, CAST((2000000 * CAST(a AS HUGEINT)) // (l.f + r.f) AS BIGINT) AS score
+      FROM u JOIN f l ON l.lang = u.lang AND l.phrase = head JOIN f r ON r.lang = u.lang AND r.phrase = tail),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM x) WHERE place = 1),
+i AS (SELECT lang, a AS longer, s, m, unnest(generate_series(1, size - m + 1)) AS i FROM (SELECT *, unnest(generate_series(2, size - 1)) AS m FROM c WHERE size >= 3)),
+d AS (SELECT lang, array_to_string(s[i:i + m - 1], ' ') AS phrase, max(longer) AS longer FROM i GROUP BY ALL)
+SELECT z.lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, score
+  FROM b LEFT JOIN d ON d.lang = b.lang AND d.phrase = b.phrase WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT)) z
+JOIN n ON n.lang = z.lang WHERE rank <= 2000
+"""
+
 _OP12 = """
 WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
@@ -292,4 +319,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_wo
 """
 
 ORACLE_SQL: dict[str, str] = {"op1_warc": _OP1, "op4_mixing": _OP4, "op6_lines": _OP6, "op7_jaccard": _OP7, "op8_suffix": _OP8, "op10_quality": _OP10,
-                              "op12_negatives": _OP12, "op13_passages": _OP13}
+                              "op11_collocations": _OP11, "op12_negatives": _OP12, "op13_passages": _OP13}
