@@ -77,16 +77,7 @@ class NotBelow:
         return F.col(self.column) >= F.col(self.other)
 
 
-@dataclass(frozen=True)
-class OneOf:
-    column: str
-    values: tuple[str, ...]
-
-    def test(self) -> Column:
-        return F.col(self.column).isin(*self.values)
-
-
-Check = NotNull | NonBlank | Matches | AtLeast | Above | NotBelow | OneOf
+Check = NotNull | NonBlank | Matches | AtLeast | Above | NotBelow
 Rule = Normalise | Check
 
 

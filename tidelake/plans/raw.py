@@ -18,6 +18,7 @@ def load_table(spark: SparkSession, spec: TableSpec, source: DataFrame, path: st
     table yet, and later append the rows beyond the table's greatest cursor: new rows, and new
     versions of changed ones. An empty table has no cursor and takes all rows.
     """
+    store.recover(spark, path)
     found = store.format_of(spark, path)
     if found not in (None, spec.fmt):
         raise RuntimeError(f"{path} holds a {found} table, not {spec.fmt}; convert it first")
@@ -25,11 +26,16 @@ def load_table(spark: SparkSession, spec: TableSpec, source: DataFrame, path: st
         store.overwrite(source, path, spec.fmt)
         return "full"
     target = store.read(spark, path, spec.fmt)
+    # the source is read once, beside the table
     new = newer_than(source, spec.cursor, last_cursor(target, spec.cursor))
-    if new.isEmpty():
-        return "unchanged"
-    store.append(new, path, spec.fmt)
-    return "appended"
+    staging = store.scratch(spark, f"raw-{spec.name}")
+    new.write.parquet(staging)
+    staged = spark.read.schema(new.schema).parquet(staging)
+    some = not staged.isEmpty()
+    if some:
+        store.append(staged, path, spec.fmt)
+    store.delete(spark, staging)
+    return "appended" if some else "unchanged"
 
 
 def load_all(spark: SparkSession, specs: list[TableSpec], source: Callable[[str], DataFrame], root: str) -> dict[str, str]:

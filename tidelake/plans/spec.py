@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from ..operators.checks import Constraints
 from ..operators.rules import Rule
 
 STRATEGIES = ("full_reload", "incremental_id", "incremental_timestamp")
@@ -24,6 +25,10 @@ class TableSpec:
     clean_mode: str = "append"
     #: How far below the cursor late rows are looked for, as an SQL expression.
     lookback: str | None = None
+    #: What the source promises of the table, beside its key.
+    constraints: Constraints = Constraints()
+    #: Buckets of the clean table by a hash of the row, so that looking for rows that it has does not shuffle it; 0 for none.
+    buckets: int = 0
 
     def __post_init__(self) -> None:
         if self.strategy not in STRATEGIES:

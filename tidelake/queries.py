@@ -19,7 +19,7 @@ from .plans import clean as clean_layer
 from .plans import raw as raw_layer
 from .plans.registry import TABLES
 from .plans.spec import TableSpec
-from .sources import store
+from .sources import buckets, store
 
 NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -103,6 +103,7 @@ select event_id as evento_id, ts + interval '40' day as ts, concat(' late ', eve
 
 EVENT_RULES = (NotNull("evento_id"), NotNull("tipo"), Normalise("title", "tipo"), AtLeast("valor", 0), Above("valor", 0))
 EVENT_SPEC = TableSpec("eventos", ("evento_id",), "incremental_timestamp", EVENT_RULES, cursor="ts", clean_cursor="ts")
+BUCKET_SPEC = TableSpec("eventos", ("evento_id",), "incremental_timestamp", EVENT_RULES, cursor="ts", clean_cursor="ts", buckets=8)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -277,7 +278,7 @@ def _clean_runs(spark, name, spec, runs):
     path = store.scratch(spark, name)
     for raw in runs:
         clean_layer.load_table(spark, spec, raw, path)
-    return store.read(spark, path)
+    return clean_layer.read_table(spark, spec, path)
 
 
 @query(f"SELECT DISTINCT * FROM ({_EVENT_CLEAN} FROM ({duck(EVENTOS)})) WHERE {_EVENT_OK}")
@@ -448,6 +449,39 @@ def streaming_incremental(spark, sf_dir):
     return store.read(spark, path)
 
 
+@query(ORACLE_SQL["silver_incremental"])
+def streaming_same_hop(spark, sf_dir):
+    """The batch load's runs as files of a stream: the first rows, then both parts, so the first come again; the last batch is
+    given twice."""
+    from .streaming.files import add_batch, load_new_files
+
+    first = view(spark, sf_dir, EVENTOS)
+    both = first.unionByName(view(spark, sf_dir, EVENTOS_DESPUES))
+    folder, path, checkpoint = (store.scratch(spark, n) for n in ("stream-in", "stream-out", "stream-checkpoint"))
+    for part in (first, both):
+        part.write.mode("append").parquet(folder)
+        load_new_files(spark, BUCKET_SPEC, folder, first.schema, path, checkpoint)
+    add_batch(spark, BUCKET_SPEC, both, path)
+    return clean_layer.read_table(spark, BUCKET_SPEC, path)
+
+
+@query(ORACLE_SQL["silver_incremental"])
+def silver_bucketed(spark, sf_dir):
+    """silver_incremental into a table whose buckets are looked up without a shuffle."""
+    first = view(spark, sf_dir, EVENTOS)
+    both = first.unionByName(view(spark, sf_dir, EVENTOS_DESPUES))
+    return _clean_runs(spark, "clean-buckets", BUCKET_SPEC, [first, both, both])
+
+
+@query(ORACLE_SQL["anti_join_existing"])
+def anti_join_bucketed(spark, sf_dir):
+    """anti_join_existing against a stored table in buckets."""
+    path = store.scratch(spark, "old-orders")
+    buckets.create(view(spark, sf_dir, _OLD), path, 8)
+    new = view(spark, sf_dir, _NEW)
+    return drop_existing(new, buckets.same_rows(new, path))
+
+
 #: The source of each of the seven tables.
 SOURCES = {"clientes": CLIENTES_TWICE, "productos": PRODUCTOS, "inventario": INVENTARIO, "facturas": FACTURAS, "detalles_factura": DETALLES,
            "sucursales": SUCURSALES, "vendedores": VENDEDORES}
@@ -516,3 +550,49 @@ def clean_load_metrics(spark, sf_dir):
     """What the second run over unchanged tables reports."""
     (_, second), _ = _clean_twice(spark, sf_dir)
     return second.select("table_name", "mode", "inserted")
+
+
+# ---- declared constraints
+
+def _report_sql() -> str:
+    """Each constraint of the registry as a statement of its own, for columns that the views have."""
+    parts = []
+    for table_name, spec in TABLES.items():
+        src, c, has = f"({duck(SOURCES[table_name])})", spec.constraints, set(re.findall(r"\bas (\w+)", SOURCES[table_name]))
+        say = lambda name, kind, sql: parts.append(f"SELECT '{table_name}' AS table_name, '{name}' AS name, '{kind}' AS kind, CAST(({sql}) AS BIGINT) AS violations")  # noqa: B023, E731
+        twice = lambda key: (f"SELECT count(*) FROM (SELECT 1 FROM {src} WHERE {' AND '.join(f'{x} IS NOT NULL' for x in key)} "  # noqa: B023, E731
+                             f"GROUP BY {', '.join(key)} HAVING count(*) > 1)")
+        for x in dict.fromkeys((*spec.key, *c.not_null)):
+            if x in has:
+                say(f"nn_{x}", "not null", f"SELECT count(*) FROM {src} WHERE {x} IS NULL")
+        for name, predicate in c.checks:
+            say(f"chk_{name}", "check", f"SELECT count(*) FROM {src} WHERE NOT ({predicate})")
+        for x, values in c.domains:
+            say(f"dom_{x}", "domain", f"SELECT count(*) FROM {src} WHERE NOT ({x} IN {values})")
+        say("pk_" + "_".join(spec.key), "primary key", twice(spec.key))
+        for u in c.unique:
+            say("uq_" + "_".join(u), "unique", twice(u))
+        for r in c.references:
+            say(f"fk_{r.column}", "reference", f"SELECT count(*) FROM {src} c WHERE {r.column} IS NOT NULL AND NOT EXISTS "
+                                               f"(SELECT 1 FROM ({duck(SOURCES[r.table])}) p WHERE p.{r.key} = c.{r.column})")
+    return " UNION ALL ".join(parts)
+
+
+@query(_report_sql())
+def dq_report(spark, sf_dir):
+    """All constraints of the seven tables, the eight references among them."""
+    return checks.report(spark, _sources(spark, sf_dir), {n: (s.key, s.constraints) for n, s in TABLES.items()})
+
+
+_BROKEN = " UNION ALL ".join(
+    f"SELECT factura_id, '{name}' AS name FROM ({duck(FACTURAS)}) WHERE {test}" for name, test in
+    [(f"nn_{x}", f"{x} IS NULL") for x in ("factura_id", *(x for x in TABLES["facturas"].constraints.not_null if x != "created_at"))]
+    + [(f"chk_{n}", f"NOT ({p})") for n, p in TABLES["facturas"].constraints.checks] + [("dom_estado", "NOT (estado IN ('PAGADA', 'NULA', 'DEVUELTA'))")])
+
+
+@query(f"SELECT factura_id, string_agg(name, ',' ORDER BY name) AS broken FROM ({_BROKEN}) GROUP BY 1")
+def dq_broken_rows(spark, sf_dir):
+    """The invoices that break a constraint, with all that each breaks."""
+    spec = TABLES["facturas"]
+    bad = checks.flagged(view(spark, sf_dir, FACTURAS), spec.key, spec.constraints)
+    return bad.select("factura_id", F.array_join(F.array_sort("broken"), ",").alias("broken"))

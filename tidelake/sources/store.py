@@ -51,9 +51,10 @@ def _require(spark: SparkSession, path: str, fmt: str) -> None:
 
 
 def overwrite(df: DataFrame, path: str, fmt: str = "parquet", replace_schema: bool = True) -> None:
-    """Replace the table, in one move at the end: a run that fails leaves it as it was. With replace_schema false,
-    another schema is an error."""
+    """Replace the table, by two moves at the end: a run that fails before them leaves it as it was, and recover() finishes
+    them. With replace_schema false, another schema is an error."""
     spark = df.sparkSession
+    recover(spark, path)
     _require(spark, path, fmt)
     if not replace_schema and exists(spark, path):
         _same_schema(df, read(spark, path, fmt), path)
@@ -83,6 +84,34 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def recover(spark: SparkSession, path: str) -> bool:
+    """Put back a table that a run has left between the two moves of a replacement. True if there was something to put back.
+
+    The new rows are complete by then, so they become the table if their files are whole, else the old ones come back.
+    What a dead run has left beside a table that is in place goes.
+    """
+    fs, p = _fs(spark, path)
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    parent = p.getParent()
+    if parent is None or not fs.exists(parent):
+        return False
+    beside = {x.getPath().getName(): x.getPath() for x in fs.listStatus(parent)}
+    old = [v for k, v in sorted(beside.items()) if k.startswith(f"{p.getName()}.old-")]
+    if not old:
+        return False
+    if not fs.exists(p):
+        token = old[-1].getName().rsplit(".old-", 1)[1]
+        fresh = beside.get(f"{p.getName()}.staging-{token}")
+        whole = fresh is not None and fs.exists(path_of(fresh, "_SUCCESS"))
+        if not fs.rename(fresh if whole else old[-1], p):
+            raise OSError(f"cannot put back {path}")
+        old = old if whole else old[:-1]
+        spark.catalog.refreshByPath(path)
+    for x in old:
+        fs.delete(x, True)
+    return True
+
+
 def staged_overwrite(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Replace a table by rows that may be computed from it: write beside it, then swap."""
     staging = f"{path}.staging-{uuid.uuid4().hex}"
@@ -95,7 +124,8 @@ def staged_overwrite(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def _swap(spark: SparkSession, staging: str, path: str) -> None:
-    old = f"{path}.old-{uuid.uuid4().hex}"
+    """Two moves; recover() finishes them if the run ends between them."""
+    old = f"{path}.old-{staging.rsplit('.staging-', 1)[1]}"
     fs, p = _fs(spark, path)
     path_of = spark._jvm.org.apache.hadoop.fs.Path
     if fs.exists(p) and not fs.rename(p, path_of(old)):
