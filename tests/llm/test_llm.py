@@ -99,6 +99,43 @@ def test_sketches_merge(spark):
     assert all(r.e <= r.id < r.e + max(1, r.e / 32) for r in edges)
 
 
+def prose(r, n=120):
+    """Words of four letters in lines of ten, all different."""
+    w = [f"{r.randrange(36 ** 4):04x}"[:4] for _ in range(n)]
+    return [" ".join(w[k:k + 10]) for k in range(0, n, 10)]
+
+
+def test_limits_follow_each_group_and_each_measure_rejects(spark):
+    """Two sources of different habits get different limits for each measure, and a row beyond one of them alone goes."""
+    r = random.Random(3)
+    docs = []
+    for i in range(200):  # prose: short words, one document in ten with a few symbols or a repeated line
+        t = prose(r)
+        t = [*t, t[0]] if i % 10 == 1 else t
+        docs.append((i, "\n".join(t) + (" & $" * 4 if i % 10 == 0 else ""), "prose"))
+    for i in range(200, 400):  # code: long words, symbols everywhere, many repeated lines
+        t = [x.replace(" ", "and") for x in prose(r, 400)]
+        t = [y for x in t for y in (x + " $x = # b", "} end %")]
+        docs.append((i, "\n".join(t), "code"))
+    extra = {1000: ("\n".join(prose(r)) + " #" * 40, "prose"), 1001: ("\n".join([*prose(r), *["the same line again"] * 12]), "prose"),
+             1002: (" ".join(x * 4 for x in " ".join(prose(r)).split()), "prose"), 1003: ("\n".join(prose(r)), "prose")}
+    rows = [(i, t, "en", s, 0, "row", 0) for i, t, s in docs] + [(i, t, "en", s, 0, "row", 0) for i, (t, s) in extra.items()]
+    measured = materialise(quality.measure(spark.createDataFrame(rows, DOC)), "measured")
+    limits = quality.thresholds(quality.sketch(measured))
+    by = {x.source: x.asDict() for x in limits.collect()}
+    for c in ("hi_word_len", "lo_word_len", "hi_symbols", "hi_dup_lines"):
+        assert by["prose"][c] != by["code"][c]
+    kept = {x["row"].doc_id: x.kept for x in quality.judge(measured, limits).collect()}
+    assert [kept[i] for i in extra] == [False, False, False, True]
+    assert all(kept[i] for i in range(400))
+    value = lambda row, m: 1000 * row[m.top] // row[m.bottom]
+    measures = quality.Rules().measures
+    for row in measured.filter("row.doc_id in (1000, 1001, 1002)").collect():
+        own = by["prose"]
+        broken = [x for x, m in measures.items() if value(row, m) > own[f"hi_{x}"] or (m.both and value(row, m) < own[f"lo_{x}"])]
+        assert broken == [["symbols"], ["dup_lines"], ["word_len"]][row["row"].doc_id - 1000]
+
+
 # ---- lines
 
 def plain_lines(pairs, least):

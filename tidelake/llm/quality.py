@@ -4,12 +4,15 @@ Fixed rules reject what is short or repeats itself. The other limits come from q
 for each language and source. The sketch is a log-linear histogram: a value in thousandths falls
 into a bin whose width is at most 1/32 of the value, and a bin's count is a plain sum, so sketches
 of parts, of sources and of languages merge by addition, in any order, with the same result.
-Small groups take the sketch of their language, and small languages that of all rows. Repeated words
-have the fixed rule alone: it rejects all that a fence so far outside the quartiles would.
+Small groups take the sketch of their language, and small languages that of all rows. Where most rows
+of a group are above 0 in a measure, the limits lie outside its quartiles; where most are 0, the upper
+limit is a multiple of the lower quartile of those above 0, which the worst rows of the group do not
+move. Repeated words have the fixed rule alone: it rejects all that a fence so far outside would.
 
 Everything is DataFrame expressions. Nulls: a null text has no words and fails the fixed rules;
 a null language or source is a group like any other. Repeated rows count and are judged each.
-An empty table gives an empty result. Columns besides lang, source and text are carried along.
+An empty table gives an empty result. Texts are measured whole, whatever their length. Columns besides
+lang, source and text are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ WINDOW = 8
 
 @dataclass(frozen=True)
 class Measure:
-    """A ratio of two counts, in thousandths, with what the fences need.
+    """A ratio of two counts, in thousandths, with what the limits need.
 
-    spread is the least distance between the quartiles that counts, so that a measure that is
-    nearly constant in a group does not reject every row that differs.
+    spread is the least distance between the quartiles that counts, and the least lower quartile of
+    rows above 0, so that a measure that is nearly constant in a group does not reject every row that differs.
     """
 
     top: str
@@ -46,12 +49,14 @@ class Rules:
     max_repeat_percent: int = 30
     #: Fences lie this many quartile distances outside the quartiles.
     reach: int = 6
+    #: The limit in a group of mostly zeros, as a multiple of the lower quartile of what is above 0.
+    factor: int = 2
     #: Groups of fewer judged rows use the sketch of their language, then of all rows.
     min_rows: int = 50
     measures: dict[str, Measure] = field(default_factory=lambda: {
         "word_len": Measure("word_chars", "n_words", 300, both=True),
         "symbols": Measure("n_symbols", "n_words", 60),
-        "dup_lines": Measure("n_dup_lines", "n_lines", 100),
+        "dup_lines": Measure("n_dup_lines", "n_lines", 150),
     })
 
 
@@ -132,14 +137,18 @@ def thresholds(sketches: DataFrame, rules: Rules = Rules()) -> DataFrame:
         merged = sketches.groupBy(*level, "measure", "edge").agg(F.sum("n").alias("n"))
         w = Window.partitionBy(*level, "measure")
         ranked = merged.select("*", F.sum("n").over(w).alias("all"),
-                               F.sum("n").over(w.orderBy("edge")).alias("upto"))
+                               F.sum("n").over(w.orderBy("edge")).alias("upto"),
+                               F.sum(F.when(F.col("edge") == 0, F.col("n")).otherwise(0)).over(w).alias("zeros"))
+        some = F.min(F.when((F.col("edge") > 0) & ((F.col("upto") - F.col("zeros")) * 4 >= F.col("all") - F.col("zeros")), F.col("edge"))).alias("p1")
         quartile = [F.min(F.when(F.col("upto") * 4 >= F.col("all") * q, F.col("edge"))).alias(f"q{q}") for q in (1, 3)]
-        each = ranked.groupBy(*level, "measure").agg(F.max("all").alias("all"), *quartile)
+        each = ranked.groupBy(*level, "measure").agg(F.max("all").alias("all"), F.max("zeros").alias("zeros"), some, *quartile)
         out = []
         for x, m in rules.measures.items():
             mine, far = F.col("measure") == x, rules.reach * F.greatest(F.col("q3") - F.col("q1"), F.lit(m.spread))
+            rare = rules.factor * F.greatest(F.col("p1"), F.lit(m.spread))
+            high = F.when(F.col("zeros") * 2 > F.col("all"), rare).otherwise(F.col("q3") + far)
             out += [F.max(F.when(mine, F.col("q1") - far if m.both else F.lit(None).cast("long"))).alias(f"lo_{x}"),
-                    F.max(F.when(mine, F.col("q3") + far)).alias(f"hi_{x}")]
+                    F.max(F.when(mine, high)).alias(f"hi_{x}")]
         wide = each.groupBy(*level).agg(F.max("all").alias("rows"), *out)
         names = [f"{side}_{x}" for x in rules.measures for side in ("lo", "hi")]
         return wide.select(*[F.col(c).alias(f"{name}_{c}") for c in level],

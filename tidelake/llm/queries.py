@@ -201,12 +201,14 @@ def quality_ctes(rules: quality.Rules = quality.Rules()) -> str:
         part = f"PARTITION BY {keys + ', ' if keys else ''}measure"
         pick = ", ".join(
             f"max(CASE WHEN measure = '{x}' THEN {f'q1 - {rules.reach} * greatest(q3 - q1, {m.spread})' if m.both else 'NULL'} END) AS lo_{x}, "
-            f"max(CASE WHEN measure = '{x}' THEN q3 + {rules.reach} * greatest(q3 - q1, {m.spread}) END) AS hi_{x}"
+            f"max(CASE WHEN measure = '{x}' THEN CASE WHEN zeros * 2 > n_all THEN {rules.factor} * greatest(coalesce(p1, 0), {m.spread}) "
+            f"ELSE q3 + {rules.reach} * greatest(q3 - q1, {m.spread}) END END) AS hi_{x}"
             for x, m in rules.measures.items())
         group = f"GROUP BY {keys}" if keys else ""
         limits.append(f"""{level} AS (SELECT {keys + ', ' if keys else ''}max(n_all) AS n_rows, {pick} FROM (
-  SELECT {keys + ', ' if keys else ''}measure, max(n_all) AS n_all, min(edge) FILTER (upto * 4 >= n_all) AS q1, min(edge) FILTER (upto * 4 >= 3 * n_all) AS q3 FROM (
-    SELECT *, sum(n) OVER ({part}) AS n_all, sum(n) OVER ({part} ORDER BY edge) AS upto FROM (
+  SELECT {keys + ', ' if keys else ''}measure, max(n_all) AS n_all, max(zeros) AS zeros,
+    min(edge) FILTER (edge > 0 AND (upto - zeros) * 4 >= n_all - zeros) AS p1, min(edge) FILTER (upto * 4 >= n_all) AS q1, min(edge) FILTER (upto * 4 >= 3 * n_all) AS q3 FROM (
+    SELECT *, sum(n) OVER ({part}) AS n_all, sum(CASE WHEN edge = 0 THEN n ELSE 0 END) OVER ({part}) AS zeros, sum(n) OVER ({part} ORDER BY edge) AS upto FROM (
       SELECT {keys + ', ' if keys else ''}measure, edge, sum(n) AS n FROM sk GROUP BY ALL)) GROUP BY ALL) {group})""")
     for x in rules.measures:
         names += [f"lo_{x}", f"hi_{x}"]
