@@ -31,7 +31,7 @@ def test_normal_forms(spark):
     assert [r[0] for r in df.select(NORMALISE["title"](F.col("x"))).collect()] == ["Coca-cola", "O'neil Mc  Donald", "Ángel Ñu", None]
     assert column(spark, [" \ta\t "]).select(NORMALISE["trim"](F.col("x"))).first()[0] == "\ta\t"
     assert column(spark, ["José Ñandú O'Neil"]).select(slug(F.col("x"))).first()[0] == "josenanduoneil"
-    odd = {"Ýåř \"x\"": 'yar"x"', "İstanbul ŠÁ": "istanbulsa", "e\u0301": "e", "ﬁn ½": "ﬁn½", "Ÿ": "y"}
+    odd = {"Ýåř \"x\"": 'yar"x"', "İstanbul ŠÁ": "istanbulsa", "e\u0301": "e", "ﬁn ½": "fin1⁄2", "Ǆ": "dz", "한글": "\u1112\u1161\u11ab\u1100\u1173\u11af", "𝐀": "a", "Ÿ": "y"}
     assert {r.x: r.s for r in column(spark, list(odd)).select("x", slug(F.col("x")).alias("s")).collect()} == odd
     df = column(spark, [Decimal("0.125"), Decimal("0.135"), Decimal("2.345")], "decimal(10,3)")
     assert [r[0] for r in df.select(cents(F.col("x"))).collect()] == [Decimal("0.12"), Decimal("0.14"), Decimal("2.34")]

@@ -21,27 +21,57 @@ NORMALISE: dict[str, Callable[[Column], Column]] = {
 }
 
 
+#: Hangul syllables decompose by arithmetic: first, vowels, finals, and the letters that they count from.
+SYLLABLES, VOWELS, FINALS, LEADS_FROM, VOWELS_FROM, FINALS_FROM = range(0xAC00, 0xD7A4), 21, 28, 0x1100, 0x1161, 0x11A7
+
+
 @cache
-def _without_accents() -> tuple[str, str]:
+def _without_accents() -> tuple[str, str, dict[str, str]]:
     """Characters whose compatibility decomposition, without combining marks, is one other character, and these; then the marks.
-
-    By Unicode's own tables, for the first plane. What becomes several characters (ligatures, Hangul) stays as it is.
-    """
-    from_, to, marks = [], [], []
-    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]):
-        if unicodedata.combining(c):
-            marks.append(c)
+    Beside them those that become several characters or none. By Unicode's own tables, without Hangul syllables."""
+    from_, to, gone, several = [], [], [], {}
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]):
+        plain = c if unicodedata.is_normalized("NFKD", c) else unicodedata.normalize("NFKD", c)
+        plain = "".join(x for x in plain if not unicodedata.combining(x))
+        if plain == c or ord(c) in SYLLABLES:
             continue
-        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if plain != c and len(plain) == 1:
+        if len(plain) == 1:
             from_.append(c)
             to.append(plain)
-    return "".join(from_ + marks), "".join(to)
+        elif plain:
+            several[c] = plain
+        else:
+            gone.append(c)
+    return "".join(from_ + gone), "".join(to), several
+
+
+def _syllable(c: Column) -> Column:
+    """The letters of a Hangul syllable."""
+    i = F.ascii(c) - SYLLABLES.start  # the code point
+    letter = lambda code: F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+    final = i % FINALS
+    return F.concat(letter(F.floor(i / (VOWELS * FINALS)) + LEADS_FROM), letter(F.floor(i % (VOWELS * FINALS) / FINALS) + VOWELS_FROM),
+                    F.when(final > 0, letter(final + FINALS_FROM)).otherwise(""))
+
+
+def without_accents(text: Column) -> Column:
+    """The compatibility decomposition (NFKD) without combining marks.
+
+    What becomes one character is translated; only texts with characters that become several go through these one by one.
+    """
+    from_, to, several = _without_accents()
+    known = F.map_from_arrays(F.split(F.lit("\n".join(several)), "\n"), F.split(F.lit("\n".join(several.values())), "\n"))
+    places = F.lit("".join(several))
+    one = lambda c: (F.when(F.ascii(c) < 0x80, c).when((c >= chr(SYLLABLES.start)) & (c <= chr(SYLLABLES.stop - 1)), _syllable(c))
+                     .when(F.instr(places, c) > 0, known[c]).otherwise(c))
+    each = F.array_join(F.transform(F.split(text, ""), one), "")
+    classes = "".join(f"\\x{{{ord(c):x}}}" for c in several)
+    return F.translate(F.when(text.rlike(f"[{classes}\\x{{{SYLLABLES.start:x}}}-\\x{{{SYLLABLES.stop - 1:x}}}]"), each).otherwise(text), from_, to)
 
 
 def slug(text: Column) -> Column:
     """Lower case without accents, spaces and apostrophes."""
-    return F.regexp_replace(F.lower(F.translate(text, *_without_accents())), "[ ']", "")
+    return F.regexp_replace(F.lower(without_accents(text)), "[ ']", "")
 
 
 def cents(amount: Column) -> Column:

@@ -9,7 +9,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.incremental import drop_existing, last_cursor, newer_than
+from ..operators.incremental import drop_existing, last_cursor_at, newer_than
 from ..operators.rules import clean, exact_distinct
 from ..sources import buckets, store
 from .spec import TableSpec
@@ -92,7 +92,7 @@ def load_table(spark: SparkSession, spec: TableSpec, raw: DataFrame, path: str)
     """
     store.recover(spark, path)
     first = not store.exists(spark, path) or spec.clean_mode == "replace"
-    last = None if first else last_cursor(read_table(spark, spec, path), spec.clean_cursor)
+    last = None if first else last_cursor_at(spark, path, spec.clean_cursor, spec.fmt)
     new = raw if first else newer_than(raw, spec.clean_cursor, last, spec.lookback)
     read, n_read = _counted(new, "read")
     accepted, n_accepted = _counted(clean(read, spec.rules), "accepted")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.incremental import last_cursor, newer_than
+from ..operators.incremental import last_cursor_at, newer_than
 from ..sources import store
 from .spec import TableSpec
 
@@ -25,9 +25,8 @@ def load_table(spark: SparkSession, spec: TableSpec, source: DataFrame, path: st
     if spec.strategy == "full_reload" or found is None:
         store.overwrite(source, path, spec.fmt)
         return "full"
-    target = store.read(spark, path, spec.fmt)
     # the source is read once, beside the table
-    new = newer_than(source, spec.cursor, last_cursor(target, spec.cursor))
+    new = newer_than(source, spec.cursor, last_cursor_at(spark, path, spec.cursor, spec.fmt))
     staging = store.scratch(spark, f"raw-{spec.name}")
     new.write.parquet(staging)
     staged = spark.read.schema(new.schema).parquet(staging)

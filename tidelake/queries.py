@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import EMAIL, slug
-from .operators import checks, sales
+from .operators import checks, maintained, sales
 from .operators.incremental import drop_existing, last_cursor
 from .operators.rules import Above, AtLeast, NotNull, Normalise, checks as rule_checks, clean, exact_distinct, rejects, rule_name
 from .plans import clean as clean_layer
@@ -596,3 +596,68 @@ def dq_broken_rows(spark, sf_dir):
     spec = TABLES["facturas"]
     bad = checks.flagged(view(spark, sf_dir, FACTURAS), spec.key, spec.constraints)
     return bad.select("factura_id", F.array_join(F.array_sort("broken"), ",").alias("broken"))
+
+
+# ---- stored results that new rows change
+
+_STORED_HEADERS = """
+select o_orderkey as factura_id, cast(o_totalprice as decimal(14,2)) as subtotal, cast(0 as decimal(14,2)) as descuento_total,
+ cast(0 as decimal(14,2)) as impuesto_total, cast(o_totalprice as decimal(14,2)) as total, year(o_orderdate) as anio from {orders}
+"""
+
+
+@query(ORACLE_SQL["header_update"])
+def header_write_back(spark, sf_dir):
+    """header_update written back to a stored table, partitioned by year, in two runs; the second finds nothing to change."""
+    path = store.scratch(spark, "headers")
+    view(spark, sf_dir, _STORED_HEADERS).write.partitionBy("anio").parquet(path)
+    sums = sales.roll_up(_lines(spark, sf_dir))
+    maintained.write_back_headers(spark, path, sums, "anio")
+    if maintained.write_back_headers(spark, path, sums, "anio"):
+        raise RuntimeError("a header changed twice")
+    return spark.read.parquet(path).drop("anio")
+
+
+@query(ORACLE_SQL["invoice_rollup"])
+def rollup_maintained(spark, sf_dir):
+    """invoice_rollup from three batches of lines; every fifth line first comes with another price, and is retracted later."""
+    lines, path = _lines(spark, sf_dir), store.scratch(spark, "sums")
+    wrong = sales.price_lines(view(spark, sf_dir, LINEAS).withColumn("precio_unitario", (F.col("precio_unitario") + 1).cast("decimal(12,2)")))
+    bad = wrong.filter("detalle_id % 5 = 0")
+    for k in range(3):
+        good = lines.filter(f"detalle_id % 3 = {k} and detalle_id % 5 <> 0")
+        maintained.maintain_roll_up(spark, path, good.unionByName(bad.filter(f"detalle_id % 3 = {k}")), parts=8)
+    maintained.maintain_roll_up(spark, path, lines.filter("detalle_id % 5 = 0"), bad, parts=8)
+    return maintained.sums_of(spark, path)
+
+
+@query("SELECT user_id, event_id, ts, valid_from, valid_to FROM (SELECT user_id, event_id, ts, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS valid_to FROM events)")
+def ranges_maintained(spark, sf_dir):
+    """scd2_ranges from batches in which versions come late, and some of them twice."""
+    events, path = table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), store.scratch(spark, "ranges")
+    for batch in (events.filter("event_id % 4 = 1"), events.filter("event_id % 4 in (0, 3)"), events.filter("event_id % 4 in (1, 2) and event_id % 3 <> 0"),
+                  events.filter("event_id % 4 in (1, 2)")):
+        maintained.maintain_ranges(spark, path, batch, ["user_id"], "ts", parts=8)
+    return maintained.ranges_of(spark, path)
+
+
+_OUTCOMES = f"""
+SELECT 'first' AS run, table_name, 'loaded' AS status, inserted FROM ({_CLEAN_COUNTS})
+UNION ALL SELECT 'second', table_name, CASE WHEN table_name = 'productos' THEN 'failed' WHEN table_name IN ('inventario', 'detalles_factura') THEN 'skipped' ELSE 'loaded' END,
+ CASE WHEN table_name NOT IN ('productos', 'inventario', 'detalles_factura') THEN 0 END FROM ({_CLEAN_COUNTS})
+"""
+
+
+@query(_OUTCOMES)
+def run_ledger(spark, sf_dir):
+    """Two runs over all tables, side by side. In the second the raw products cannot be read: that load fails, the two tables that
+    refer to products are skipped, and the others go on."""
+    from .plans import runs
+
+    sources, specs = _sources(spark, sf_dir), list(TABLES.values())
+    raw_root, clean_root, ledger = (store.scratch(spark, n) for n in ("raw", "clean", "ledger"))
+    runs.run_raw(spark, specs, sources.__getitem__, raw_root, ledger, run_id="raw")
+    runs.run_clean(spark, specs, raw_root, clean_root, ledger, run_id="first")
+    store.delete(spark, f"{raw_root}/productos")
+    runs.run_clean(spark, specs, raw_root, clean_root, ledger, run_id="second")
+    return runs.last_runs(spark, ledger).select("run", "table_name", "status", "inserted")

@@ -137,6 +137,18 @@ def _swap(spark: SparkSession, staging: str, path: str) -> None:
     spark.catalog.refreshByPath(path)
 
 
+def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
+    """Replace the partitions (of the columns by) that the rows have; the files of all others stay. The rows may be computed from
+    the table: they are written beside it first. Each partition is replaced by a delete and a move."""
+    spark = df.sparkSession
+    staging = scratch(spark, "partitions")
+    df.write.parquet(staging)
+    staged = spark.read.schema(df.schema).parquet(staging)
+    (staged.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path))
+    delete(spark, staging)
+    spark.catalog.refreshByPath(path)
+
+
 def convert(spark: SparkSession, source: str, target: str, from_fmt: str, to_fmt: str) -> int:
     """Write a table in another format and return its rows; a target that has the format is left alone.
 
