@@ -14,8 +14,10 @@ them before any set is moved, and exact set intersection decides. How it scales:
 * In a list of classes that share a prefix token, pairs are not enumerated. In each round the list
   has one pivot, each class is compared with the pivots it shares most tokens with, and classes that
   are linked get one label. Lists of one label are closed, and so are postings without a possible
-  partner; only open ones are kept for the next round. When few pairs are open, they are all
-  compared. No pair that could join two components is left out.
+  partner; only open ones are kept for the next round. When few pairs are open (Params.open_per_token),
+  when a round joins nothing, or after Params.max_rounds, the open pairs are all compared. No pair that
+  could join two components is left out. The last two cases have no bound: in a corpus of documents
+  that share most of their passages and are yet dissimilar, open pairs grow with the square of a list.
 * Labels are joined by alternating large-star and small-star steps on the graph of labels.
 
 Nulls: a null or empty text, and one without words, has an empty set and is linked with nothing; a

@@ -2,7 +2,8 @@
 
 The unwanted ones are named in the general words of block lists (gambling, medicine, adult, money, fakes,
 advertising and tracking, spam, malware), the wanted ones in those of everyday sites, some of which hold an
-unwanted word by chance (pillow, essex, shadows). Subdomains, domains and paths are dealt alike to both.
+unwanted word by chance (pillow, essex, shadows). Subdomains, domains and plain paths are dealt alike to both.
+Paths of either kind, in the same general words, come with plain hosts, so that paths are told apart by themselves.
 """
 
 from __future__ import annotations
@@ -40,6 +41,19 @@ tablet table-tennis vegetable notable sustainable portable bubble people apple-o
 enterprise interest internet winter-garden printer painter writer reader leader teacher-union speaker builder holder border
 order under wonder thunder render vendor standard island england ireland scotland holland poland finland
 """.split()
+UNWANTED_PATHS = """
+casino/bonus casino/slots poker/bonus slots/free-spins bet/odds-live betting/bonus jackpot/win win/free-prize prize/claim
+claim/free-gift free/giftcard free/iphone adult/videos adult/cams xxx/videos xxx/free porn/videos porn/free-cams sex/chat sex/cams
+viagra/buy viagra/cheap cialis/cheap pills/buy-cheap pills/diet meds/cheap loan/fast-cash loan/payday cash/easy crypto/double
+crack/keygen keygen/download warez/crack replica/watches replica/cheap ads/click ads/banner track/click popunder/ads spam/links
+""".split()
+WANTED_PATHS = """
+articles/history articles/science docs/install-guide docs/reference guide/travel recipes/soup recipes/bread news/local news/weather
+about/team contact/office library/catalogue library/opening-hours courses/mathematics courses/physics museum/exhibition
+museum/tickets timetable/trains maps/city reviews/books reviews/films garden/plants health/advice sports/results sports/fixtures
+jobs/teachers research/papers archive/letters
+""".split()
+PLAIN_HOSTS = ("www.example.com", "example.org", "pages.example.com")
 SUBDOMAINS = ("", "www.", "m.", "blog.")
 DOMAINS = ("example.com", "example.net", "example.org")
 PATHS = ("/en/1", "/de/2.html", "/fr/3/", "/es/4", "/news/5", "/")
@@ -51,6 +65,14 @@ def url_labels(keep=lambda place: True) -> list[tuple[str, int]]:
             for y, names in ((0, WANTED), (1, UNWANTED)) for k, name in enumerate(names) if keep(k) for j, sub in enumerate(SUBDOMAINS)]
 
 
+def path_labels(keep=lambda place: True) -> list[tuple[str, int]]:
+    """(url, label) of paths with plain hosts; keep: of paths by their place among their kind. The wanted ones come with each host, the
+    unwanted ones with one, as the fit gives both kinds the same weight and has half as many unwanted rows: the hosts tell nothing."""
+    places = list(zip(PLAIN_HOSTS, ("", "/", ".html")))
+    return [(f"http://{host}/{path}{end}", y) for y, paths in ((0, WANTED_PATHS), (1, UNWANTED_PATHS)) for k, path in enumerate(paths) if keep(k)
+            for j, (host, end) in enumerate(places) if y == 0 or j == k % 3]
+
+
 def labelled(spark: SparkSession, rows: list[tuple[str, int]] | None = None) -> DataFrame:
-    rows = url_labels() if rows is None else rows
+    rows = url_labels() + path_labels() if rows is None else rows
     return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{u}', {y})" for u, y in rows) + " AS t(url, label)")
