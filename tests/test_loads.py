@@ -155,3 +155,29 @@ def test_the_registry_declares_what_the_source_promises():
     assert TABLES["facturas"].constraints.domains == (("estado", INVOICE_STATES),)
     assert sum(len(t.constraints.unique) for t in TABLES.values()) == 6
     assert sum(len(t.constraints.checks) + len(t.constraints.domains) for t in TABLES.values()) == 15
+
+
+# ---- the package
+
+def test_the_archive_holds_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    from tidelake.ship import archive
+
+    path = archive(str(tmp_path))
+    code = f"import sys; sys.path.insert(0, {path!r}); import tidelake.operators.rules as r; assert {path!r} in r.__file__"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
+
+
+def test_the_entry_imports_without_the_optional_part(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "tidelake", tmp_path / "tidelake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and not any(x.startswith('op') for x in q) and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)

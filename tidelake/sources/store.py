@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared checkpoint folder; a temporary folder where none is set (tests)."""
+    """A new path in the shared checkpoint folder: spark.checkpoint.dir, else the context's; a temporary folder of this machine in
+    plain local mode (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = known.get() if known.isDefined() else None
     if not root:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
