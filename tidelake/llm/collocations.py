@@ -50,6 +50,7 @@ from .suffix import by_bucket, cut_at, rows_of, table_of
 
 TWICE = 2_000_000
 LONGEST = 4
+SHARES = 64
 BLOCK_BYTES = 1 << 22
 #: Bytes of the stored blocks for each bucket.
 BUCKET_BYTES = 1 << 22
@@ -427,7 +428,9 @@ def _survivors(candidates: DataFrame, longer: DataFrame, percent: int) -> DataFr
 
 def best_phrases(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """docs: lang, text. lang, rank, phrase, a, l, r, n, score of each language's best phrases."""
-    keep, best = params.drop_percent / 100, Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    keep, order = params.drop_percent / 100, (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    # ranked by shares of a language first, so that a language's last ranking has SHARES times limit rows at most
+    shares, best = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SHARES))).orderBy(*order), Window.partitionBy("lang").orderBy(*order)
     blocks = materialise(docs.select("lang", "text").mapInArrow(block_rows(params.block_bytes), PACKED_SQL), "phrase-blocks")
     n = materialise(blocks.mapInArrow(totals, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
     buckets = buckets_for(blocks, BUCKET_BYTES)
@@ -447,7 +450,9 @@ def best_phrases(docs: DataFrame, params: Params = Params()) -> DataFrame:
             found = found.unionByName(_phrases(grown))
             used += [frequent, grown]
         reached = found.filter(F.col("score") >= _floor(thresholds, default))
-        survivors = _survivors(reached, found, params.drop_percent).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= params.limit)
+        survivors = _survivors(reached, found, params.drop_percent)
+        for window in (shares, best):
+            survivors = survivors.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= params.limit)
         round_ = materialise(survivors, "survivors")
         drop_tables(*used)
         short = []
