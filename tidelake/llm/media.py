@@ -3,8 +3,9 @@
 Both steps are pandas UDFs on one column, so all other columns stay in Spark. A text is stored as
 its UTF-8 bytes with bytes 0 appended up to a positive multiple of 64, one byte a sample (8-bit
 unsigned, mono). Nulls: a null text is an empty one, 64 bytes 0. Results depend on the text alone,
-so repeated rows agree. Long texts are transformed in runs of frames, in bounded memory. An empty
-table gives an empty result.
+so repeated rows agree. What a task returns goes out in parts of PART_BYTES of its input, or of one
+longer text; long texts are transformed in runs of frames, so beside its text, its samples and its
+peaks one needs no more memory than a short one. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ BLOCK = 64
 FRAME, HOP = 256, 128
 #: Frames that are transformed at once; the fingerprint does not depend on it.
 RUN = 2048
+#: Of a batch of rows, so many bytes are worked on and returned at once.
+PART_BYTES = 1 << 22
 #: A peak is paired with those of so many frames that follow.
 AHEAD = 3
 READ = T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("frames", T.IntegerType()),
@@ -33,6 +36,19 @@ def pad(data: bytes) -> bytes:
     return data + bytes(-len(data) % BLOCK if data else BLOCK)
 
 
+def parts(s: pd.Series) -> Iterator[pd.Series]:
+    """The texts or byte strings in parts of PART_BYTES at most, or of one that is longer."""
+    first, held = 0, 0
+    for i, x in enumerate(s):
+        size = len(x) if x is not None else 0
+        if i > first and held + size > PART_BYTES:
+            yield s.iloc[first:i]
+            first, held = i, 0
+        held += size
+    if len(s) > first:
+        yield s.iloc[first:]
+
+
 @F.pandas_udf(T.BinaryType())
 def to_wav(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The WAV file that holds the text's padded bytes as samples."""
@@ -47,7 +63,8 @@ def to_wav(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
         return out.getvalue()
 
     for s in text:
-        yield s.map(one)
+        for part in parts(s):
+            yield pd.Series([one(x) for x in part], dtype=object)
 
 
 def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,11 +98,11 @@ def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 @F.pandas_udf(READ)
 def from_wav(media: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """What the stored bytes hold: the payload, the number of frames and the time-coded fingerprint."""
+    def one(data: bytes) -> tuple:
+        with wave.open(io.BytesIO(data), "rb") as w:
+            payload = w.readframes(w.getnframes())
+        return payload, max(1, -((FRAME - len(payload)) // HOP) + 1), *fingerprint(np.frombuffer(payload, np.uint8))
+
     for s in media:
-        rows = []
-        for data in s:
-            with wave.open(io.BytesIO(data), "rb") as w:
-                payload = w.readframes(w.getnframes())
-            times, codes = fingerprint(np.frombuffer(payload, np.uint8))
-            rows.append((payload, max(1, -((FRAME - len(payload)) // HOP) + 1), times, codes))
-        yield pd.DataFrame(rows, columns=["payload", "frames", "times", "codes"])
+        for part in parts(s):
+            yield pd.DataFrame([one(x) for x in part], columns=["payload", "frames", "times", "codes"])
