@@ -2,19 +2,18 @@
 
 The model has one weight for each of a bounded number of word features, shared by all thresholds:
 P(grade <= k) = logistic(threshold_k - x.w). It is fitted on at most max_rows labelled documents
-(those with the smallest hashes), a documented bound, so the fit runs on the driver; counting over
-documents and scoring run in tasks, over whole texts.
+(those with the smallest hashes), a documented bound. Their words are counted by Spark; what reaches
+the driver is max_features words and, for each of the max_rows documents, its grade and which of
+these words it has, so the gradient steps run there. Scoring runs in tasks, over whole texts.
 
 Nulls: a null or empty text has no features and gets the grade that the thresholds alone give; a
 null grade leaves the row out of the fit. Repeated rows score alike. An empty table gives an empty
-result; without labelled rows of two grades, every document scores 0. Other columns are carried
-along by Spark.
+result; without labelled rows of two grades, every document scores 0. A text of any length is the
+set of its distinct words, which a task holds whole. Other columns take no part, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +21,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import drop_tables, materialise
 
 EDGES = b".,;:!?\"'()[]{}<>*#$%&|-_"
 
@@ -52,38 +54,43 @@ def features(text: str | None) -> set[bytes]:
     return {w.strip(EDGES) for w in (text or "").encode().lower().split()} - {b""}
 
 
-def bounded(labelled: DataFrame, params: Params) -> list:
-    """The sample of the fit: text, grade."""
-    return (labelled.filter("text is not null and grade is not null").select("text", "grade")
-            .orderBy(F.xxhash64("text"), "text", "grade").limit(params.max_rows).collect())
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def word_lists(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in texts:
+        yield pd.Series([sorted(w.decode() for w in features(t)) for t in s], dtype=object)
+
+
+def bounded(labelled: DataFrame, params: Params) -> DataFrame:
+    """The sample of the fit: words (distinct), grade. The hashes are cut first, so that no other row's words are made."""
+    rows = labelled.filter("text is not null and grade is not null").select(F.xxhash64("text").alias("h"), "text", "grade")
+    cut = rows.select("h").orderBy("h").limit(params.max_rows).agg(F.max("h")).first()[0]
+    rows = rows.filter(F.col("h") <= F.lit(cut).cast("long")).select("h", word_lists("text").alias("words"), "grade")
+    return materialise(rows.orderBy("h", "words", "grade").limit(params.max_rows).select("words", "grade"), "toxicity-sample")
 
 
-def telling(sets: list[set[bytes]], positive: np.ndarray, params: Params) -> list[tuple[float, bytes]]:
-    """(z, word), by falling |z|: the log odds ratio of a word over its standard error."""
-    yes, no = Counter(), Counter()
-    for s, p in zip(sets, positive):
-        (yes if p else no).update(s)
-    n1, n0 = max(1, int(positive.sum())), max(1, int((~positive).sum()))
-    out = []
-    for w in yes.keys() | no.keys():
-        a, b = yes[w], no[w]
-        if a + b >= params.min_docs:
-            odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
-            out.append((float(odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))), w))
-    return sorted(out, key=lambda x: (-abs(x[0]), x[1]))[:params.max_features]
+def telling(sample: DataFrame, least_z: float, params: Params) -> list[tuple[float, str]]:
+    """(z, word), by falling |z|, ties by word: the log odds ratio of a word over its standard error, of graded against grade 0."""
+    n = sample.agg(F.count_if(F.col("grade") > 0).alias("n1"), F.count_if(F.col("grade") <= 0).alias("n0")).first()
+    a, b, n1, n0 = F.col("a"), F.col("b"), max(1, n["n1"]), max(1, n["n0"])
+    odds = F.log((a + 0.5) / (n1 - a + 0.5)) - F.log((b + 0.5) / (n0 - b + 0.5))
+    counts = (sample.select(F.explode("words").alias("word"), "grade").groupBy("word")
+              .agg(F.count_if(F.col("grade") > 0).alias("a"), F.count_if(F.col("grade") <= 0).alias("b")).filter(a + b >= params.min_docs))
+    rows = counts.select((odds / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))).alias("z"), "word").filter(F.abs("z") > least_z)
+    return [(r["z"], r["word"]) for r in rows.orderBy(F.abs("z").desc(), "word").limit(params.max_features).collect()]
 
 
 def fit(labelled: DataFrame, params: Params = Params()) -> Model:
     """labelled: text, grade (0, 1, 2, ...)."""
-    rows = bounded(labelled, params)
-    grade = np.array([r["grade"] for r in rows], int)
-    if len(set(grade.tolist())) < 2:
+    sample = bounded(labelled, params)
+    if sample.select("grade").distinct().limit(2).count() < 2:
         return Model({}, ())
-    sets = [features(r["text"]) for r in rows]
-    chosen = [(z, w) for z, w in telling(sets, grade > 0, params) if abs(z) > params.min_z]
-    index = {w: j for j, (_, w) in enumerate(chosen)}
-    at = [(i, index[w]) for i, s in enumerate(sets) for w in s if w in index]
-    doc, word = (np.array(x, int) for x in zip(*at)) if at else (np.empty(0, int), np.empty(0, int))
+    index = {w: j for j, (_, w) in enumerate(telling(sample, params.min_z, params))}
+    known = F.array_intersect("words", F.array(*map(F.lit, index)).cast("array<string>"))
+    rows = sorted((r["grade"], sorted(index[w] for w in r["known"])) for r in sample.select("grade", known.alias("known")).collect())
+    drop_tables(sample)
+    grade = np.array([g for g, _ in rows], int)
+    doc = np.repeat(np.arange(len(rows)), [len(w) for _, w in rows])
+    word = np.array([j for _, w in rows for j in w], int)
     levels = int(grade.max())
     w, step = np.zeros(len(index)), np.full(levels - 1, 1.0)
     first = np.array([np.log((np.mean(grade <= 0) + 1e-3) / (1 - np.mean(grade <= 0) + 1e-3))])
@@ -112,7 +119,7 @@ def fit(labelled: DataFrame, params: Params = Params()) -> Model:
             theta[k] = theta[k] - params.rate * (moment[k] / (1 - 0.9 ** it)) / (np.sqrt(square[k] / (1 - 0.999 ** it)) + 1e-8)
     w, first, gaps = theta
     cuts = np.concatenate([first, first + np.cumsum(np.exp(gaps))])
-    return Model({x: float(w[j]) for x, j in index.items()}, tuple(map(float, cuts)))
+    return Model({x.encode(): float(w[j]) for x, j in index.items()}, tuple(map(float, cuts)))
 
 
 def expected_severity(text: Column, model: Model) -> Column:
@@ -135,9 +142,9 @@ def graded(docs: DataFrame, params: Params = Params(), cuts: tuple[int, ...] = (
     The words are those that tell toxic from other documents best in the bounded sample. Grade 0 is
     not toxic; a toxic document has grade 1, and one more for each of cuts that it reaches.
     """
-    rows = bounded(docs.select("text", F.col("toxic").alias("grade")), params)
-    toxic = np.array([r["grade"] for r in rows], int) > 0
-    terms = [w.decode() for z, w in telling([features(r["text"]) for r in rows], toxic, params) if z > params.grade_z][:params.grade_words]
+    sample = bounded(docs.select("text", F.col("toxic").alias("grade")), params)
+    terms = [w for z, w in telling(sample, params.grade_z, params) if z > 0][:params.grade_words]
+    drop_tables(sample)
     found = F.size(F.array_intersect(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"), F.array(*map(F.lit, terms)).cast("array<string>")))
     level = F.lit(1)
     for c in cuts:
