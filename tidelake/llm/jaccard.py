@@ -16,8 +16,13 @@ them before any set is moved, and exact set intersection decides. How it scales:
   are linked get one label. Lists of one label are closed, and so are postings without a possible
   partner; only open ones are kept for the next round. When few pairs are open (Params.open_per_token),
   when a round joins nothing, or after Params.max_rounds, the open pairs are all compared. No pair that
-  could join two components is left out. The last two cases have no bound: in a corpus of documents
-  that share most of their passages and are yet dissimilar, open pairs grow with the square of a list.
+  could join two components is left out.
+* The last two cases leave lists of any length, such as those of a corpus made of common passages. There
+  postings carry a signature of their set (see signatures), and a pair whose signatures differ by more
+  than similar sets can is dropped where it is met, before it is written or shuffled. So what is written
+  follows the pairs that are nearly similar; looking at signatures still takes the square of a list's
+  length, in an equality join that is split by token and, if skewed, by Spark. Signatures tell sets of up
+  to some 1,700 shingles apart; pairs of longer ones go on to the next filters.
 * Labels are joined by alternating large-star and small-star steps on the graph of labels.
 
 Nulls: a null or empty text, and one without words, has an empty set and is linked with nothing; a
@@ -54,6 +59,8 @@ MARK = 0xFFFF
 #: What of a token is sent and compared.
 KEPT_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 BLOCK_BYTES = 1 << 23
+#: 64-bit words of a signature.
+SIGNATURE = 16
 
 
 @dataclass(frozen=True)
@@ -315,6 +322,47 @@ def allowed(n: str, most: str, other_n: str, other_most: str):
     return ((n * 100 >= other_n * PERCENT) & (other_n * 100 >= n * PERCENT) & (other_n <= most) & (n <= other_most))
 
 
+def signatures(classes: DataFrame) -> DataFrame:
+    """id, rest, s0, s1, ...: parities of how many shared tokens fall in each of 64 * SIGNATURE groups, by hash.
+
+    Two sets differ in at least as many tokens as their signatures in bits, and in the rest as well: the number of
+    their tokens that no other document has.
+    """
+    schema = ", ".join(["id long", "rest long", *(f"s{k} long" for k in range(SIGNATURE))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, n, lists = batch.columns
+            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            tokens = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            group = tokens >> np.uint64(16)  # the lowest bits are not kept
+            sums = np.zeros((batch.num_rows, SIGNATURE), np.uint64)
+            np.bitwise_xor.at(sums, (np.repeat(np.arange(batch.num_rows), size), (group >> np.uint64(6)) % np.uint64(SIGNATURE)),
+                              np.uint64(1) << (group & np.uint64(63)))
+            columns = [ids, pa.array(n.to_numpy() - size), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in sums.T)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "rest", *(f"s{k}" for k in range(SIGNATURE))])
+
+    return classes.select("id", "n", "shared").mapInArrow(run, schema)
+
+
+def open_pairs(postings: DataFrame, signed: bool) -> DataFrame:
+    """a, b: pairs of a class outside the label of its list's pivot with any class of another label in the list.
+
+    signed: postings have signatures, and pairs that differ too much by them are left out.
+    """
+    facts = ["id", "n", "most", "label", *(["rest", *(f"s{k}" for k in range(SIGNATURE))] if signed else [])]
+    side = lambda df, s: df.select("token", *(F.col(c).alias(f"{s}_{c}") for c in facts))
+    both = side(postings.filter("label <> pivot.label"), "a").join(side(postings, "b"), "token")
+    both = both.filter((F.col("a_label") != F.col("b_label")) & allowed("a_n", "a_most", "b_n", "b_most"))
+    if signed:
+        apart = F.col("a_rest") + F.col("b_rest")
+        for k in range(SIGNATURE):
+            apart = apart + F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}")))
+        # of N = n + n tokens similar sets share 2 * PERCENT * N / (100 + PERCENT) or more
+        both = both.filter((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("a_n") + F.col("b_n")))
+    return both.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+
+
 def stars(edges: DataFrame) -> DataFrame:
     """x, y: each node of the graph of edges (x, y), x <> y, that is not its component's least, with the least.
 
@@ -385,20 +433,18 @@ def linked_classes(rows: DataFrame, params: Params = Params()) -> DataFrame:
         if not facts["pairs"]:
             break
         n_open = n_open or facts["postings"]
-        last = facts["pairs"] <= params.open_per_token * n_open or turn == params.max_rounds or not moved
+        few = facts["pairs"] <= params.open_per_token * n_open
+        last = few or turn == params.max_rounds or not moved
         if last:
-            # pairs of a class outside the label of the list's pivot with any class of another label
-            a = now.filter("label <> pivot.label").select("token", F.col("id").alias("a"), "n", "most", "label")
-            b = now.select("token", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("most").alias("b_most"), F.col("label").alias("b_label"))
-            pairs = (a.join(b, (a["token"] == b["token"]) & (F.col("label") != F.col("b_label")) & allowed("n", "most", "bn", "b_most"))
-                     .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-            pairs = materialise(pairs, "open-pairs")
+            postings = now if few else materialise(now.join(signatures(classes), "id"), "open-signed")
+            pairs = materialise(open_pairs(postings, not few), "open-pairs")
+            drop_tables(*[postings] * (not few))
         else:
             best = (now.filter((F.col("label") != F.col("pivot.label")) & allowed("n", "most", "pivot.n", "pivot.most"))
                     .groupBy("id", F.col("pivot.id").alias("b")).agg(F.count("*").alias("c")))
             # a class has no more pivots than prefix tokens, so this list is bounded
-            few = F.slice(F.sort_array(F.collect_list(F.struct("c", "b")), asc=False), 1, params.pivots)
-            pairs = (best.groupBy("id").agg(few.alias("m")).select(F.col("id").alias("a"), F.explode("m").alias("m"))
+            most_shared = F.slice(F.sort_array(F.collect_list(F.struct("c", "b")), asc=False), 1, params.pivots)
+            pairs = (best.groupBy("id").agg(most_shared.alias("m")).select(F.col("id").alias("a"), F.explode("m").alias("m"))
                      .select("a", F.col("m.b").alias("b")))
         links = materialise(similar(pairs, classes), "links")
         labels, moved = merge(labels, links)
