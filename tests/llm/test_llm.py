@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 import zstandard
@@ -200,6 +201,41 @@ def test_jaccard(spark, params):
     assert got == plain_components(pairs)
 
 
+def test_jaccard_of_common_passages(spark, monkeypatch):
+    """Documents made of common passages and yet dissimilar: few of the open pairs, whose number is of the square, are written."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    pool = [" ".join(r.choices(words, k=20)) for _ in range(30)]
+    pairs = [(i, " ".join(r.sample(pool, 10))) for i in range(400)]
+    pairs += [(400 + i, pairs[i][1] + " and more words") for i in range(0, 40, 2)]
+    real, written = jaccard.materialise, {}
+
+    def counted(df, name):
+        out = real(df, name)
+        written.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    params = jaccard.Params(open_per_token=0.0, max_rounds=2)
+    got = result(jaccard.components(frame(spark, pairs), params).select("doc_id", "n_shingles", "component_id"))
+    assert got == plain_components(pairs)
+    assert sum(written["open-signed"]) > 0 and sum(written["open-pairs"]) <= 400
+
+
+def test_signatures_never_differ_more_than_sets(spark):
+    r = random.Random(8)
+    sets = [[r.randrange(-2**47, 2**47) << 16 for _ in range(r.choice([0, 1, 5, 300, 4000]))] for _ in range(6)]
+    sets += [s[r.randrange(1, 40):] + [r.randrange(2**47) << 16] for s in sets if len(s) > 40]
+    rows = [(i, len(s) + i % 3, s) for i, s in enumerate(sets)]
+    signed = {x.id: x for x in jaccard.signatures(spark.createDataFrame(rows, "id long, n long, shared array<long>")).collect()}
+    bits = lambda x: [x[f"s{k}"] & (2**64 - 1) for k in range(jaccard.SIGNATURE)]
+    for i, s in enumerate(sets):
+        assert signed[i].rest == i % 3
+        for j, t in enumerate(sets):
+            apart = sum((a ^ b).bit_count() for a, b in zip(bits(signed[i]), bits(signed[j])))
+            assert apart <= len(set(s) ^ set(t)) and (apart - len(set(s) ^ set(t))) % 2 == 0
+
+
 def test_one_of_each(spark):
     pairs = corpus(seed=4)
     df = frame(spark, pairs)
@@ -391,6 +427,17 @@ def test_media(spark):
     assert frame(spark, pairs).limit(0).select(media.to_wav("text")).count() == 0
 
 
+def test_media_parts_do_not_change_results(spark, monkeypatch):
+    many = [(i, chr(97 + i % 26) * (50_000 + i) if i % 7 else None) for i in range(200)]
+    read = lambda: sorted((tuple(x) for x in frame(spark, many).select("doc_id", media.from_wav(media.to_wav("text")).alias("m"))
+                           .select("doc_id", F.sha2("m.payload", 256), "m.frames", F.hash("m.times", "m.codes")).collect()), key=str)
+    sizes = [sum(map(len, p)) for p in media.parts(pd.Series([t or "" for _, t in many]))]
+    assert max(sizes) <= media.PART_BYTES and len(sizes) > 1 and sum(sizes) == sum(len(t or "") for _, t in many)
+    assert [len(p) for p in media.parts(pd.Series(["x", None, "y" * (media.PART_BYTES + 1), "z"]))] == [2, 1, 1]
+    want = [(i, hashlib.sha256(media.pad((t or "").encode())).hexdigest()) for i, t in many]
+    assert [x[:2] for x in read()] == sorted(want, key=str)
+
+
 def test_fingerprint_finds_a_tone():
     t = np.arange(4096)
     tone = (128 + 100 * np.sin(2 * np.pi * 32 / media.FRAME * t)).astype(np.uint8)
@@ -561,6 +608,22 @@ def test_toxicity_orders_held_out_documents(spark):
     assert spark.createDataFrame([("a",)], "text string").select(toxicity.expected_severity(F.col("text"), none)).first()[0] == 0
 
 
+def test_telling_words_against_plain_counts(spark):
+    r = random.Random(4)
+    docs = [(" ".join(r.sample(WORDS, 30)) + ", Bad!" * (i % 3 == 0), int(i % 3 == 0)) for i in range(150)] + [(None, 1), ("x", None), ("", 0)]
+    params = toxicity.Params(max_rows=100)
+    sample = toxicity.bounded(spark.createDataFrame(docs, "text string, grade int"), params)
+    rows = [(set(x.words), x.grade) for x in sample.collect()]
+    n1, n0, want = sum(g > 0 for _, g in rows), sum(g == 0 for _, g in rows), []
+    for w in set().union(*(s for s, _ in rows)):
+        a, b = sum(w in s for s, g in rows if g), sum(w in s for s, g in rows if not g)
+        odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
+        if a + b >= params.min_docs:
+            want.append((w, odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))))
+    got = {w: z for z, w in toxicity.telling(sample, 0.0, params)}
+    assert len(rows) == 100 and got == pytest.approx({w: z for w, z in want if z}) and max(got, key=got.get) == "bad"
+
+
 def test_grades(spark):
     words = ["ugly", "vile", "nasty", "foul"]
     r = random.Random(1)
