@@ -58,15 +58,17 @@ def without_accents(text: Column) -> Column:
     """The compatibility decomposition (NFKD) without combining marks.
 
     What becomes one character is translated; only texts with characters that become several go through these one by one.
+    Such texts are told by what a translation deletes, which looks each character up in a hash map: a pattern's class of so many
+    characters tries them in turn.
     """
     from_, to, several = _without_accents()
-    known = F.map_from_arrays(F.split(F.lit("\n".join(several)), "\n"), F.split(F.lit("\n".join(several.values())), "\n"))
-    places = F.lit("".join(several))
+    places, parts = "".join(several), F.split(F.lit("\n".join(several.values())), "\n")
     one = lambda c: (F.when(F.ascii(c) < 0x80, c).when((c >= chr(SYLLABLES.start)) & (c <= chr(SYLLABLES.stop - 1)), _syllable(c))
-                     .when(F.instr(places, c) > 0, known[c]).otherwise(c))
+                     .otherwise(F.coalesce(F.get(parts, F.instr(F.lit(places), c) - 1), c)))
     each = F.array_join(F.transform(F.split(text, ""), one), "")
-    classes = "".join(f"\\x{{{ord(c):x}}}" for c in several)
-    return F.translate(F.when(text.rlike(f"[{classes}\\x{{{SYLLABLES.start:x}}}-\\x{{{SYLLABLES.stop - 1:x}}}]"), each).otherwise(text), from_, to)
+    grows = F.octet_length(F.translate(text, places, "")) < F.octet_length(text)
+    grows = grows | text.rlike(f"[\\x{{{SYLLABLES.start:x}}}-\\x{{{SYLLABLES.stop - 1:x}}}]")
+    return F.translate(F.when(grows, each).otherwise(text), from_, to)
 
 
 def slug(text: Column) -> Column:
