@@ -222,6 +222,27 @@ def test_jaccard_of_common_passages(spark, monkeypatch):
     assert sum(written["open-signed"]) > 0 and sum(written["open-pairs"]) <= 400
 
 
+def test_jaccard_rounds_after_the_first_read_open_sets_only(spark, monkeypatch):
+    """Near copies of two texts in long lists, and documents that are settled by the first round: their sets are not moved again."""
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    pool = [" ".join(r.choices(words, k=20)) for _ in range(12)]
+    pairs = [(i, " ".join(r.sample(pool, 6))) for i in range(40)]
+    for i in range(60):
+        text = " ".join(r.choices(words, k=60))
+        pairs += [(100 + 2 * i, text), (101 + 2 * i, text + " more")]
+    real, read = jaccard.similar, []
+
+    def counted(links, classes):
+        read.append(classes.count())
+        return real(links, classes)
+
+    monkeypatch.setattr(jaccard, "similar", counted)
+    got = result(jaccard.components(frame(spark, pairs)).select("doc_id", "n_shingles", "component_id"))
+    assert got == plain_components(pairs)
+    assert len(read) > 1 and read[0] >= 120 and max(read[1:]) <= 40
+
+
 def test_signatures_never_differ_more_than_sets(spark):
     r = random.Random(8)
     sets = [[r.randrange(-2**47, 2**47) << 16 for _ in range(r.choice([0, 1, 5, 300, 4000]))] for _ in range(6)]

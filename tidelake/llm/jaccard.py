@@ -14,9 +14,9 @@ them before any set is moved, and exact set intersection decides. How it scales:
 * In a list of classes that share a prefix token, pairs are not enumerated. In each round the list
   has one pivot, each class is compared with the pivots it shares most tokens with, and classes that
   are linked get one label. Lists of one label are closed, and so are postings without a possible
-  partner; only open ones are kept for the next round. When few pairs are open (Params.open_per_token),
-  when a round joins nothing, or after Params.max_rounds, the open pairs are all compared. No pair that
-  could join two components is left out.
+  partner; only open ones are kept for the next round, with the sets of their classes. When few pairs are
+  open after a round (Params.open_per_token), when a round joins nothing, or after Params.max_rounds, the
+  open pairs are all compared. No pair that could join two components is left out.
 * The last two cases leave lists of any length, such as those of a corpus made of common passages. There
   postings carry a signature of their set (see signatures), and a pair whose signatures differ by more
   than similar sets can is dropped where it is met, before it is written or shuffled. So what is written
@@ -71,7 +71,8 @@ class Params:
     max_rounds: int = 6
     #: In a round a class is compared with the pivots that it shares most tokens with, so many at most; the rest stay open.
     pivots: int = 4
-    #: Open pairs are enumerated when there are at most so many for each posting (a pair counts for each token that it shares).
+    #: After the first round, open pairs are enumerated when there are at most so many for each posting of that round (a pair
+    #: counts for each token that it shares).
     open_per_token: float = 4.0
 
 
@@ -417,7 +418,7 @@ def linked_classes(rows: DataFrame, params: Params = Params()) -> DataFrame:
              .select("id", "n", "token", most.alias("most"), F.col("id").alias("label")))
     labels = materialise(classes.select("id", F.col("id").alias("label")), "labels")
     release(spark)
-    n_open, moved = None, True
+    n_open, moved, sets = None, True, classes
     for turn in range(params.max_rounds + 1):
         # at first the class that allows the largest partners, next to which the others have changed most; then any
         score = F.col("most") - F.col("n") if turn == 0 else F.lit(0)
@@ -433,10 +434,15 @@ def linked_classes(rows: DataFrame, params: Params = Params()) -> DataFrame:
         if not facts["pairs"]:
             break
         n_open = n_open or facts["postings"]
-        few = facts["pairs"] <= params.open_per_token * n_open
+        # a round comes first, so that tables of all sizes take the same steps
+        few = turn > 0 and facts["pairs"] <= params.open_per_token * n_open
+        if turn == 1:  # what the first round leaves open is little as a rule; later ones read and move the sets of that alone
+            ids = materialise(now.select(F.explode(F.array("id", "pivot.id")).alias("id")).distinct(), "open-ids")
+            sets = materialise(classes.join(ids, "id", "left_semi"), "open-classes")
+            drop_tables(ids)
         last = few or turn == params.max_rounds or not moved
         if last:
-            postings = now if few else materialise(now.join(signatures(classes), "id"), "open-signed")
+            postings = now if few else materialise(now.join(signatures(sets), "id"), "open-signed")
             pairs = materialise(open_pairs(postings, not few), "open-pairs")
             drop_tables(*[postings] * (not few))
         else:
@@ -446,7 +452,7 @@ def linked_classes(rows: DataFrame, params: Params = Params()) -> DataFrame:
             most_shared = F.slice(F.sort_array(F.collect_list(F.struct("c", "b")), asc=False), 1, params.pivots)
             pairs = (best.groupBy("id").agg(most_shared.alias("m")).select(F.col("id").alias("a"), F.explode("m").alias("m"))
                      .select("a", F.col("m.b").alias("b")))
-        links = materialise(similar(pairs, classes), "links")
+        links = materialise(similar(pairs, sets), "links")
         labels, moved = merge(labels, links)
         drop_tables(links, *[pairs] * last)
         if last:
@@ -455,7 +461,7 @@ def linked_classes(rows: DataFrame, params: Params = Params()) -> DataFrame:
         open_ = materialise(now.drop("label", "c", "pivot").join(labels, "id"), "open-postings")
         drop_tables(now)
     found = materialise(classes.select("id", "key").join(labels, "id").select("key", "label"), "class-labels")
-    drop_tables(now, classes, labels)
+    drop_tables(now, classes, sets, labels)
     return found
 
 
