@@ -129,3 +129,53 @@ def test_op11(spark, tmp_path):
     docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     want = plain(rows, 30, 2000)
     assert want and result(op11_collocations(spark, str(tmp_path))) == want
+
+
+def test_a_pair_is_sent_in_a_few_bytes():
+    """A block's distinct pairs go out as the numbers of their words; hashes and checks took twelve bytes and more."""
+    np, r = collocations.np, random.Random(5)
+    words = [f"w{k}".encode() for k in range(2000)]
+    b = collocations.Block(0, np.array([r.randint(1, 2000) for _ in range(60_000)]), words, np.zeros(2000, np.uint16), ["en"])
+    keys = np.sort(collocations.Phrases(b).word_keys)
+    b.known[1] = keys, np.full(2000, 30)
+    batches = collocations.table_of([b.row()]).to_batches()
+    out = [row for part in collocations.string_rows(2, 4)(iter(batches)) for row in part.to_pylist()]
+    pairs = len(set(zip(b.codes.tolist(), b.codes[1:].tolist())))
+    assert pairs > 50_000 and sum(len(row[x]) for row in out for x in ("tokens", "docs", "extra")) < 4 * pairs
+
+
+def test_blocks_are_written_three_times(spark):
+    """Counting triples and four words reads the blocks, but writes no table of them."""
+    real, holding = collocations.materialise, []
+
+    def spy(df, name):
+        out = real(df, name)
+        if "kind" in out.columns and out.filter("kind = 'M'").count():
+            holding.append(name)
+        return out
+
+    collocations.materialise = spy
+    try:
+        got = result(collocations.best_phrases(docs(spark, pairs(9)), collocations.Params(min_count=3, limit=30, slack=2)))
+    finally:
+        collocations.materialise = real
+    assert got == plain(pairs(9), 3, 30) and len(holding) == 3
+
+
+@pytest.mark.parametrize("bits", [2, 3, 17, 34, 41, 63, 64])
+def test_keys_give_their_numbers_back(bits):
+    np, r = collocations.np, random.Random(bits)
+    numbers = np.unique(np.array([0, 1, (1 << bits) - 1, *(r.getrandbits(bits) for _ in range(500))], np.uint64))
+    keys = np.sort(collocations.scrambled(numbers, bits))
+    assert len(np.unique(keys)) == len(numbers)
+    again = collocations.unsmall_keys(collocations.small_keys(keys, bits), bits)
+    assert again.tolist() == keys.tolist() and np.sort(collocations.unscrambled(again, bits)).tolist() == numbers.tolist()
+
+
+def test_scores_of_longer_phrases(spark):
+    """Beyond 64 bits, the first of equal cuts, and none where a part's count is not known."""
+    big = 9 * 10 ** 15
+    rows = spark.createDataFrame([(1, big, big + 1, big + 7, big + 2, big + 6), (2, 30, 40, 60, 50, 50), (3, 30, 40, 60, None, 50)],
+                                 "id long, a long, x long, y long, u long, v long")
+    got = collocations._scored(rows, [("x", "y"), ("u", "v")], 3).orderBy("id").select("l", "r", "score", "size").collect()
+    assert [tuple(r) for r in got] == [(big + 1, big + 7, 2_000_000 * big // (2 * big + 8), 3), (40, 60, 600_000, 3), (None, None, None, 3)]
